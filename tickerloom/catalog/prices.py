@@ -265,9 +265,9 @@ def implied_fx_gap(spark, sf):
 
 @query(
     "basket_index",
-    "fecha retorno:f6 indice:f4",
+    "fecha retorno:f6 log_indice:f6",
     """
-SELECT fecha, retorno, exp(sum(ln(1 + retorno)) OVER (ORDER BY fecha)) AS indice FROM (
+SELECT fecha, retorno, sum(ln(1 + retorno)) OVER (ORDER BY fecha) AS log_indice FROM (
   SELECT fecha, coalesce(s / nullif(coalesce(sum(nuevos) OVER (ORDER BY fecha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), 0) AS retorno
   FROM (SELECT fecha, sum(r) AS s, count(*) FILTER (WHERE r IS NULL) AS nuevos
         FROM (SELECT fecha, adj_close / lag(adj_close) OVER (PARTITION BY ticker_usd ORDER BY fecha) - 1 AS r FROM bars JOIN dim USING (ticker_usd) WHERE sector = 'NATION_9')
@@ -275,7 +275,7 @@ SELECT fecha, retorno, exp(sum(ln(1 + retorno)) OVER (ORDER BY fecha)) AS indice
 )
 def basket_index(spark, sf):
     sector = A.dim(spark, sf).filter(F.col("sector") == "NATION_9")
-    return M.equal_weight_basket(A.bars(spark, sf), sector)
+    return M.equal_weight_basket(A.bars(spark, sf), sector).withColumn("log_indice", F.log("indice"))
 
 
 @query(
