@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickerloom.catalog.base import query
-from tickerloom.catalog.prices import QUALITY_BODY, quality_of
+from tickerloom.catalog.prices import QUALITY_BODY, RATES_SQL, quality_of
 from tickerloom.functions import ordering as O
 from tickerloom.functions import series as S
 from tickerloom.operators import fundamentals as FU
@@ -417,15 +417,11 @@ def _valuation(spark, sf):
     "mean_corr_by_style",
     "lynch_categoria_auto promedio:f6 empresas:i",
     f"""
-SELECT lynch_categoria_auto, avg(c) AS promedio, count(*) AS empresas
-FROM (SELECT ticker_usd, lynch_categoria_auto FROM ({STYLE_SQL})) l JOIN (
-  SELECT ticker_usd, corr(r, a) AS c FROM (SELECT ticker_usd, fecha, adj_close / lag(adj_close) OVER (PARTITION BY ticker_usd ORDER BY fecha) - 1 AS r FROM bars) x
-  JOIN (SELECT fecha, valor - lag(valor) OVER (ORDER BY fecha) AS a FROM macro WHERE serie = 'UST10Y') m ON m.fecha = x.fecha
-  WHERE r IS NOT NULL AND a IS NOT NULL GROUP BY 1 HAVING count(*) >= 200) s ON s.ticker_usd = l.ticker_usd GROUP BY 1""",
+SELECT lynch_categoria_auto, avg(macro_corr_ret_vs_ust10y) AS promedio, count(*) AS empresas
+FROM (SELECT ticker_usd, lynch_categoria_auto FROM ({STYLE_SQL})) l JOIN ({RATES_SQL}) s ON s.ticker_usd = l.ticker_usd GROUP BY 1""",
 )
 def mean_corr_by_style(spark, sf):
-    # rates only: a second series would change which dates exist, not which are required
-    s = M.rate_sensitivity(A.bars(spark, sf), A.macro(spark, sf), "UST10Y", "UST10Y", rounded_output=False)
+    s = M.rate_sensitivity(A.bars(spark, sf), A.macro(spark, sf), rounded_output=False)
     return M.group_mean(s, styles_of(spark, sf), "macro_corr_ret_vs_ust10y", "lynch_categoria_auto")
 
 

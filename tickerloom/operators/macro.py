@@ -174,7 +174,7 @@ def filled_series(macro: DataFrame, dates: DataFrame, series: list[str]) -> Data
 
 
 def equal_weight_basket(prices_usd: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
-    """Daily rebalanced equal-weight index, starting at 1: (fecha, retorno, indice).
+    """Daily rebalanced equal-weight index, starting at 1: (fecha, retorno, log_indice, indice).
 
     Every ticker is carried forward over dates where others traded, so a missing day counts as a zero return
     after its first price, as in a forward-filled matrix. The mean needs only sums by date: a carried day adds
@@ -191,8 +191,8 @@ def equal_weight_basket(prices_usd: DataFrame, tickers: DataFrame | None = None)
     mean = F.coalesce(ratio("suma", active), F.lit(0.0))
     return (
         per_day.withColumn("retorno", mean)
-        .withColumn("indice", F.exp(F.sum(F.log1p("retorno")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-        .select("fecha", "retorno", "indice")
+        .withColumn("log_indice", F.sum(F.log1p("retorno")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .select("fecha", "retorno", "log_indice", F.exp("log_indice").alias("indice"))
     )
 
 
