@@ -275,7 +275,7 @@ FROM (SELECT ticker_usd, count(*) AS sent_titulares_total, count(*) FILTER (WHER
 
 
 def sentiment_of(spark, sf):
-    return N.news_sentiment(A.news(spark, sf), rounded_output=False)
+    return N.news_sentiment(A.news(spark, sf), A.last_news_day(spark, sf), rounded_output=False)
 
 
 @query(
@@ -303,7 +303,7 @@ FROM (SELECT ticker_usd, count(*) FILTER (WHERE r AND tipo = 'Compra') AS ins_co
     INSIDER_SQL.replace("{days}", "90"),
 )
 def insider_90d(spark, sf):
-    return N.insider_signal(A.insiders(spark, sf))
+    return N.insider_signal(A.insiders(spark, sf), A.last_event_day(spark, sf))
 
 
 @query(
@@ -312,7 +312,7 @@ def insider_90d(spark, sf):
     INSIDER_SQL.replace("{days}", "5"),
 )
 def insider_5d(spark, sf):
-    return N.insider_signal(A.insiders(spark, sf), days=5)
+    return N.insider_signal(A.insiders(spark, sf), A.last_event_day(spark, sf), days=5)
 
 
 @query(
@@ -325,7 +325,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker_usd ORDER BY ord
 WHERE k <= 15""",
 )
 def recent_headlines(spark, sf):
-    return N.recent_headlines(A.news(spark, sf))
+    return N.recent_headlines(A.news(spark, sf), A.last_news_day(spark, sf))
 
 
 @query(

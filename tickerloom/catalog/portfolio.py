@@ -24,6 +24,7 @@ from tickerloom.operators import refuge as RF
 from tickerloom.operators import signals as SG
 from tickerloom.operators import swings as SW
 from tickerloom.operators import technical as T
+from tickerloom.session import cut_lineage
 from tickerloom.sources import adapters as A
 
 # Provided volumes are small and histories short; the thresholds keep their meaning at another level.
@@ -61,7 +62,7 @@ FROM (SELECT *, (rank() OVER (ORDER BY lynch_checklist_score) + (count(*) OVER (
 def candidates_of(spark, sf):
     return P.candidates(
         styles_of(spark, sf), comps_of(spark, sf), health_of(spark, sf), T.technical(A.bars(spark, sf), rounded_output=False),
-        A.consensus(spark, sf), sentiment_of(spark, sf), A.bars(spark, sf), quality_of(spark, sf),
+        A.consensus(spark, sf), sentiment_of(spark, sf), A.bars(spark, sf), quality_of(spark, sf), A.last_day(spark, sf),
     )
 
 
@@ -70,6 +71,10 @@ def filtered_of(spark, sf):
     return P.quality_filter(candidates_of(spark, sf).withColumn("errores_datos", F.lit(None).cast("string")), MIN_VOLUME, MIN_HISTORY)
 
 
+def ranked_of(spark, sf):
+    return P.rank_candidates(cut_lineage(filtered_of(spark, sf)))
+
+
 @query(
     "portfolio_candidates",
     "ticker_usd sector mercado pais_origen lynch_categoria_auto lynch_checklist_score:i comp_pe_vs_sector_pct:f4 salud_score:i salud_evaluables:i salud_clasificacion "
@@ -88,7 +93,7 @@ def quality_filter(spark, sf):
 
 @query("composite_ranking", "ticker_usd pct_checklist:f6 pct_barata:f6 pct_salud:f6 score_compuesto:f6", RANKED_SQL)
 def composite_ranking(spark, sf):
-    return P.rank_candidates(filtered_of(spark, sf))
+    return ranked_of(spark, sf)
 
 
 @query(
@@ -104,7 +109,7 @@ def external_alerts(spark, sf):
 
 @query("portfolio_select", "ticker_usd puesto:i sector region score_compuesto:f6")
 def portfolio_select(spark, sf):
-    return P.select_diversified(P.rank_candidates(filtered_of(spark, sf)))
+    return P.select_diversified(ranked_of(spark, sf))
 
 
 @query(
@@ -136,7 +141,7 @@ def select_by_volume(spark, sf):
     "fecha_seleccion origen ticker_usd puesto:i precio_seleccion:f6",
 )
 def save_portfolio(spark, sf):
-    chosen = P.external_alerts(P.select_diversified(P.rank_candidates(filtered_of(spark, sf))))
+    chosen = P.external_alerts(P.select_diversified(ranked_of(spark, sf)))
     return P.portfolio_rows(chosen, A.bars(spark, sf), "manual")
 
 
@@ -205,7 +210,7 @@ def monitor_portfolio(spark, sf):
     refuge = RF.refuge(b, A.macro(spark, sf), A.dim(spark, sf), min_days=MIN_REFUGE_DAYS)
     return MO.monitor_portfolio(
         A.saved_portfolios(spark, sf), b, A.eps_reports(spark, sf), A.dim(spark, sf), T.technical(b, rounded_output=False),
-        sentiment_of(spark, sf), quality_of(spark, sf), refuge, rounded_output=False,
+        sentiment_of(spark, sf), quality_of(spark, sf), refuge, A.last_day(spark, sf), rounded_output=False,
     )
 
 
@@ -255,7 +260,7 @@ def _watch(spark, sf):
     b = A.bars(spark, sf)
     return MO.monitor_watchlist(
         A.watchlist(spark, sf), b, A.macro(spark, sf), A.eps_reports(spark, sf), A.dim(spark, sf), T.technical(b, rounded_output=False),
-        sentiment_of(spark, sf), quality_of(spark, sf), rounded_output=False,
+        sentiment_of(spark, sf), quality_of(spark, sf), A.last_day(spark, sf), rounded_output=False,
     )
 
 
@@ -300,28 +305,27 @@ SIGNAL_COLUMNS = "ticker_usd senal activa:b"
 
 @query("signal_currency_stable", SIGNAL_COLUMNS, SIGNALS_SQL["moneda_estable"])
 def signal_currency_stable(spark, sf):
-    b = A.bars(spark, sf)
-    return SG.currency_stable(A.watchlist(spark, sf), A.macro(spark, sf), b.agg(F.max("fecha")).scalar())
+    return SG.currency_stable(A.watchlist(spark, sf), A.macro(spark, sf), A.last_day(spark, sf))
 
 
 @query("signal_capitulation", SIGNAL_COLUMNS, SIGNALS_SQL["capitulacion"])
 def signal_capitulation(spark, sf):
-    return SG.capitulation(A.watchlist(spark, sf), A.bars(spark, sf))
+    return SG.capitulation(A.watchlist(spark, sf), A.bars(spark, sf), A.last_day(spark, sf))
 
 
 @query("signal_stopped_falling", SIGNAL_COLUMNS, SIGNALS_SQL["dejo_de_hacer_minimos"])
 def signal_stopped_falling(spark, sf):
-    return SG.stopped_falling(A.watchlist(spark, sf), A.bars(spark, sf))
+    return SG.stopped_falling(A.watchlist(spark, sf), A.bars(spark, sf), A.last_day(spark, sf))
 
 
 @query("signal_post_report", SIGNAL_COLUMNS, SIGNALS_SQL["post_reporte"])
 def signal_post_report(spark, sf):
-    return SG.post_report(A.watchlist(spark, sf), A.bars(spark, sf), A.eps_reports(spark, sf))
+    return SG.post_report(A.watchlist(spark, sf), A.bars(spark, sf), A.eps_reports(spark, sf), A.last_day(spark, sf))
 
 
 @query("signal_rsi_recovers", SIGNAL_COLUMNS, SIGNALS_SQL["rsi_recupera"])
 def signal_rsi_recovers(spark, sf):
-    return SG.rsi_recovers(A.watchlist(spark, sf), A.bars(spark, sf))
+    return SG.rsi_recovers(A.watchlist(spark, sf), A.bars(spark, sf), A.last_day(spark, sf))
 
 
 @query(
@@ -330,7 +334,7 @@ def signal_rsi_recovers(spark, sf):
     f"SELECT ticker_usd, count(*) AS senales, count(*) FILTER (WHERE activa) AS activas, string_agg(senal, ', ' ORDER BY senal) FILTER (WHERE activa) AS nombres FROM ({ALL_SIGNALS_SQL}) GROUP BY 1",
 )
 def signal_count(spark, sf):
-    return SG.count_active(SG.evaluate_signals(A.watchlist(spark, sf), A.bars(spark, sf), A.macro(spark, sf), A.eps_reports(spark, sf)))
+    return SG.count_active(SG.evaluate_signals(A.watchlist(spark, sf), A.bars(spark, sf), A.macro(spark, sf), A.eps_reports(spark, sf), A.last_day(spark, sf)))
 
 
 ALIGNED_SQL = """

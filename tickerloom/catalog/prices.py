@@ -333,7 +333,7 @@ FROM me JOIN pt ON pt.ticker_usd = me.ticker_usd WHERE ih < 5 AND primera > (SEL
 
 
 def quality_of(spark, sf):
-    return Q.data_quality(A.bars(spark, sf), A.metrics(spark, sf), A.dim(spark, sf))
+    return Q.data_quality(A.bars(spark, sf), A.metrics(spark, sf), A.dim(spark, sf), A.last_day(spark, sf))
 
 
 @query("quality_marks", "ticker_usd regla severidad valor:f4 referencia:f2", QUALITY_BODY.format(behind=7))

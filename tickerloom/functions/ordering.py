@@ -79,16 +79,35 @@ def exact_quantiles(
     return grouped.agg(*aggs).select(*keys, *finals)
 
 
+def with_rank_pcts(df: DataFrame, ranks: dict[str, str], id_column: str) -> DataFrame:
+    """Add the average-tie percentile rank (0-1] of several columns over the whole frame; NULL values keep a NULL rank.
+
+    ``ranks`` maps columns to output names, ``id_column`` is unique per row. All columns are ranked in one pass as
+    (column, value) groups, whatever their number.
+    """
+    long = df.select(id_column, *[F.col(c).cast("double").alias(c) for c in ranks]).unpivot(
+        [id_column], list(ranks), "_m", "_v"
+    ).filter(F.col("_v").isNotNull())
+    placed = value_positions(long, ["_m"], "_v").select(
+        "_m", "_v", ((F.col("n_before") + (F.col("n_eq") + 1) / 2) / F.col("n_total")).alias("_p")
+    )
+    wide = (
+        long.join(placed, ["_m", "_v"])
+        .groupBy(id_column)
+        .agg(*[F.max(F.when(F.col("_m") == c, F.col("_p"))).alias(out) for c, out in ranks.items()])
+    )
+    return df.join(wide, id_column, "left")
+
+
 def with_rank_pct(df: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Add the average-tie percentile rank of ``value`` (0-1]; NULL values keep a NULL rank."""
+    """Add the average-tie percentile rank of ``value`` (0-1] within ``keys``; NULL values keep a NULL rank."""
     keys = list(keys)
-    v = F.col(value).cast("double")
     ranks = value_positions(df, keys, value).select(
         *keys,
         F.col(value).alias("_v"),
         ((F.col("n_before") + (F.col("n_eq") + 1) / 2) / F.col("n_total")).alias(out),
     )
-    left = df.withColumn("_v", v)
+    left = df.withColumn("_v", F.col(value).cast("double"))
     return left.join(ranks, [*keys, "_v"], "left").drop("_v")
 
 

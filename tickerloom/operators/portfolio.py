@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.expr import AsOf, as_of_date, change_pct, joined, ratio, rounded, texts
-from tickerloom.functions.ordering import exact_quantiles, with_rank_pct
+from tickerloom.functions.ordering import exact_quantiles, with_rank_pcts
 from tickerloom.functions.series import asof_backward, latest_rows
 
 SIZE, MAX_PER_SECTOR, MAX_PER_REGION = 9, 2, 2
@@ -84,14 +84,15 @@ def rank_candidates(df: DataFrame) -> DataFrame:
     """Percentile scores and their mean over the available ones.
 
     The P/E rank counts every company, and only then turns neutral where the P/E says little. Ranks are over the
-    whole set, computed by value counts rather than in one sorted task.
+    whole set, computed by value counts rather than in one sorted task. The frame is read several times: pass one
+    that is stored or cut (``session.cut_lineage``), not the whole chain of joins behind it.
     """
     scored = df.withColumn("_barata", -F.col("comp_pe_vs_sector_pct")).withColumn(
         "salud_ratio", ratio("salud_score", "salud_evaluables")
     )
-    scored = with_rank_pct(scored, "lynch_checklist_score", "pct_checklist")
-    scored = with_rank_pct(scored, "_barata", "pct_barata")
-    scored = with_rank_pct(scored, "salud_ratio", "pct_salud")
+    scored = with_rank_pcts(
+        scored, {"lynch_checklist_score": "pct_checklist", "_barata": "pct_barata", "salud_ratio": "pct_salud"}, "ticker_usd"
+    )
     neutral = (F.col("lynch_categoria_auto") == "Ciclica") | F.col("ganancia_no_recurrente")
     scored = scored.withColumn("pe_no_confiable", neutral).withColumn(
         "pct_barata", F.when(neutral, F.lit(0.5)).otherwise(F.col("pct_barata"))

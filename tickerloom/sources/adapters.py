@@ -46,6 +46,20 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def last_day(spark: SparkSession, sf_dir: str) -> Column:
+    """Newest bar date, from one column of lineitem rather than from the rolled-up bars."""
+    return table(spark, sf_dir, "lineitem").agg(F.to_date(F.max("l_shipdate")).alias("d")).scalar()
+
+
+def last_news_day(spark: SparkSession, sf_dir: str) -> Column:
+    newest = F.date_add(F.lit("2024-01-01").cast("date"), F.max(F.col("n_chars") % 30).cast("int"))
+    return table(spark, sf_dir, "documents").agg(newest.alias("d")).scalar()
+
+
+def last_event_day(spark: SparkSession, sf_dir: str) -> Column:
+    return table(spark, sf_dir, "events").agg(F.to_date(F.max("ts")).alias("d")).scalar()
+
+
 def dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     market = F.lit(None)
     for name, value in MARKET_BY_REGION.items():
