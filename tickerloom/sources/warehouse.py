@@ -61,12 +61,19 @@ class Warehouse:
     def rewrite(self, table: str, df: DataFrame) -> None:
         """Replace the whole table."""
         target = self._folder(table, self._generation(table) + 1)
-        self._layout(self._with_year(table, df)).write.partitionBy(YEAR).mode("overwrite").parquet(target)
+        # static mode: the commit marker that makes a generation current is only left at the root in this mode
+        (
+            self._layout(self._with_year(table, df))
+            .write.partitionBy(YEAR)
+            .mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .parquet(target)
+        )
 
     def publish(self, name: str, df: DataFrame) -> DataFrame:
         """Store a derived result under its own name and hand back the stored rows: what follows reads those, not the plan behind them."""
         target = self._folder(name, self._generation(name) + 1)
-        df.write.mode("overwrite").parquet(target)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(target)
         return self.spark.read.parquet(target)
 
     def published(self, name: str) -> DataFrame:
