@@ -222,6 +222,18 @@ ba AS (SELECT DISTINCT CASE WHEN right(simbolo, 1) IN ('C', 'D') AND substr(simb
                             WHEN simbolo = 'XLCC' THEN 'XLC' WHEN simbolo IN ('XLYC', 'XLYD') THEN 'XLY' ELSE simbolo END AS b FROM et)"""
 
 
+IS_ETF = """(simbolo IN (SELECT simbolo FROM et) OR simbolo IN (SELECT b FROM ba)
+       OR (right(simbolo, 1) IN ('C', 'D') AND substr(simbolo, 1, length(simbolo) - 1) IN (SELECT b FROM ba)))"""
+TITLE = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')"
+GROUP_SQL = """
+{name}_named AS (SELECT *, regexp_replace(lower(empresa), '[^a-z0-9]', '', 'g') AS clave
+          FROM (SELECT *, trim(regexp_replace(trim(regexp_replace(descripcion, '(?i)^cedear\s+', '')), '[.,]+$', '')) AS empresa FROM {source})),
+{name}_keys AS (SELECT DISTINCT clave FROM {name}_named),
+{name}_grp AS (SELECT k.clave, coalesce((SELECT arg_min(h.clave, length(h.clave)) FROM {name}_keys h WHERE length(h.clave) >= 6 AND starts_with(k.clave, h.clave)), k.clave) AS grupo FROM {name}_keys k),
+{name}_dedup AS (SELECT arg_min(simbolo, ROW(length(simbolo), simbolo)) AS t, arg_min(empresa, ROW(-length(empresa), empresa)) AS e
+          FROM {name}_named JOIN {name}_grp ON {name}_grp.clave = {name}_named.clave GROUP BY grupo)"""
+
+
 @query(
     "etf_split",
     "simbolo descripcion es_etf:b",
@@ -234,16 +246,39 @@ def etf_split(spark, sf):
     return U.split_etfs(A.panel(spark, sf))
 
 
-@query("etf_rows", "ticker_usd mercado nombre_empresa variantes")
+@query(
+    "etf_rows",
+    "ticker_usd mercado nombre_empresa variantes",
+    f"""
+WITH {ETF_SQL}, pe AS (SELECT *, {IS_ETF} AS es_etf FROM panel)
+SELECT b AS ticker_usd, 'etf' AS mercado, {TITLE.format("trim(regexp_replace(trim(d), '[.,]+$', ''))")} AS nombre_empresa, variantes FROM (
+  SELECT b, arg_min(descripcion, ROW(CASE WHEN simbolo = b THEN 0 ELSE 1 END, simbolo)) AS d, string_agg(simbolo, ', ' ORDER BY simbolo) AS variantes
+  FROM (SELECT simbolo, descripcion, CASE WHEN right(simbolo, 1) IN ('C', 'D') AND substr(simbolo, 1, length(simbolo) - 1) IN (SELECT simbolo FROM pe WHERE es_etf)
+                                         THEN substr(simbolo, 1, length(simbolo) - 1) ELSE simbolo END AS b FROM pe WHERE es_etf) GROUP BY 1)""",
+)
 def etf_rows(spark, sf):
     return U.etf_rows(U.split_etfs(A.panel(spark, sf)).filter("es_etf"))
 
 
-@query("universe_rows", "ticker_usd ticker_yahoo mercado nombre_empresa variantes")
+@query(
+    "universe_rows",
+    "ticker_usd ticker_yahoo mercado nombre_empresa",
+    f"""
+WITH {ETF_SQL}, pe AS (SELECT *, {IS_ETF} AS es_etf FROM panel),
+{GROUP_SQL.format(name='c', source='(SELECT simbolo, descripcion FROM pe WHERE NOT es_etf)')},
+{GROUP_SQL.format(name='l', source="(SELECT 'L' || s_suppkey AS simbolo, s_name AS descripcion FROM supplier)")}
+SELECT t AS ticker_usd, t AS ticker_yahoo, CASE WHEN regexp_matches(t, '\\d[A-Za-z]?$') THEN 'brasil' ELSE 'usa_otros' END AS mercado, {TITLE.format('e')} AS nombre_empresa FROM c_dedup
+UNION ALL SELECT b, b, 'etf', {TITLE.format("trim(regexp_replace(trim(d), '[.,]+$', ''))")} FROM (
+  SELECT b, arg_min(descripcion, ROW(CASE WHEN simbolo = b THEN 0 ELSE 1 END, simbolo)) AS d
+  FROM (SELECT simbolo, descripcion, CASE WHEN right(simbolo, 1) IN ('C', 'D') AND substr(simbolo, 1, length(simbolo) - 1) IN (SELECT simbolo FROM pe WHERE es_etf)
+                                         THEN substr(simbolo, 1, length(simbolo) - 1) ELSE simbolo END AS b FROM pe WHERE es_etf) GROUP BY 1)
+UNION ALL SELECT t, t || '.BA', 'argentina_local', {TITLE.format('e')} FROM l_dedup
+UNION ALL SELECT * FROM (VALUES ('BTC', 'BTC-USD', 'cripto', 'Bitcoin'), ('ETH', 'ETH-USD', 'cripto', 'Ethereum'), ('SOL', 'SOL-USD', 'cripto', 'Solana'))""",
+)
 def universe_rows(spark, sf):
     p = A.panel(spark, sf)
     local = A.table(spark, sf, "supplier").select(F.concat(F.lit("L"), F.col("s_suppkey").cast("string")).alias("simbolo"), F.col("s_name").alias("descripcion"))
-    return U.universe(p, local)
+    return U.universe(p, local, variants=False)
 
 
 @query("market_filter", "ticker_usd mercado", "SELECT ticker_usd, mercado FROM dim WHERE mercado NOT IN ('cripto', 'etf')")

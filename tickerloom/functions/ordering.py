@@ -3,8 +3,8 @@
 A plain ``rank`` or ``percentile`` over (sector) sends a whole sector to one task,
 and over nothing at all sends the table there. Here equal values are counted
 first (map-side combined), values are cut into buckets by an order-preserving
-formula, each (group, bucket) is numbered by itself and the bucket totals, a few
-thousand rows per group at most, supply the offsets. The bucket is a pure function of the
+formula, each (group, bucket) is numbered by itself and the bucket totals, some
+thousands of rows per group, supply the offsets. The bucket is a pure function of the
 value, so a recomputed task always lands on the same numbers.
 """
 
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS_PER_OCTAVE = 64
+BUCKETS_PER_OCTAVE = 1024
 # Doubles span 2^-1074 .. 2^1024; the offset keeps every exponent positive.
 _EXPONENT_OFFSET = 1100 * BUCKETS_PER_OCTAVE
 _INFINITY_BUCKET = 4 * _EXPONENT_OFFSET

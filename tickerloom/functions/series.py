@@ -58,16 +58,15 @@ def known_at_latest(
 
 
 def latest_rows(df: DataFrame, key: str = "ticker_usd", date: str = "fecha") -> DataFrame:
-    """The newest row per key, as an aggregate (no sort)."""
+    """The newest row per key, as an aggregate (no sort). The date is unique within the key."""
     rest = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(date)).alias("_row"))
-    return picked.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    return df.groupBy(key).agg(*[F.max_by(c, date).alias(c) for c in rest]).select(*df.columns)
 
 
 def first_rows(df: DataFrame, key: str = "ticker_usd", date: str = "fecha") -> DataFrame:
+    """The oldest row per key, likewise."""
     rest = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(date)).alias("_row"))
-    return picked.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    return df.groupBy(key).agg(*[F.min_by(c, date).alias(c) for c in rest]).select(*df.columns)
 
 
 def broadcast_per_date(df: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,9 @@ MAX_HEADLINES, SCANNED_ITEMS = 15, 30
 
 Scorer = Callable[[pd.Series], pd.DataFrame]
 
+# Scorers of this module travel with the job, so workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def news_sentiment(news: DataFrame, as_of: AsOf = None, days: int = WINDOW_DAYS, rounded_output: bool = True) -> DataFrame:
     """Headline counts and signed mean confidence per ticker over the last days."""
@@ -103,8 +109,10 @@ def recent_headlines(items: DataFrame, as_of: AsOf = None, days: int = WINDOW_DA
 
 
 def new_headlines(items: DataFrame, stored: DataFrame) -> DataFrame:
-    """Headlines not stored yet for their ticker."""
-    return items.join(stored.select("ticker_usd", "titular").distinct(), ["ticker_usd", "titular"], "left_anti")
+    """Headlines not stored yet for their ticker; whole texts meet by their digest, so the stored side stays narrow."""
+    digest = F.sha2("titular", 256).alias("_d")
+    seen = stored.select("ticker_usd", digest).distinct()
+    return items.withColumn("_d", digest).join(seen, ["ticker_usd", "_d"], "left_anti").select(*items.columns)
 
 
 class LexiconScorer:
@@ -119,9 +127,9 @@ class LexiconScorer:
 
     def __call__(self, texts: pd.Series) -> pd.DataFrame:
         lower = texts.fillna("").str.lower()
-        good, bad = lower.str.count(self.good), lower.str.count(self.bad)
+        good, bad = lower.str.count(self.good, re.ASCII), lower.str.count(self.bad, re.ASCII)
         label = pd.Series("neutral", index=texts.index).mask(good > bad, "positive").mask(bad > good, "negative")
-        score = ((1 + (good - bad).abs()) / (2 + good + bad)).round(3)
+        score = (1 + (good - bad).abs()) / (2 + good + bad)
         return pd.DataFrame({"sentimiento": label, "score_sentimiento": score.astype(float)})
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,9 @@ FIB_TOLERANCE = 3.0
 PIVOT_SCHEMA = "ticker_usd string, nro_pivot int, fecha date, precio double, tipo string, fecha_confirmacion date"
 _SCAN_BLOCK = 512
 
+# The group function travels with the job, so workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _leg_end(prices: np.ndarray, start: int, threshold: float, falling_ends: bool) -> tuple[int, int] | None:
     """(extreme, confirmation) of the leg that starts at ``start``, or None while it is still open.

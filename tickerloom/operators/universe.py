@@ -162,39 +162,44 @@ def etf_rows(etfs: DataFrame) -> DataFrame:
     )
 
 
-def _deduped(panel: DataFrame) -> DataFrame:
-    symbols = symbols_with_group(panel)
-    return dedup_companies(panel).join(variant_texts(symbols, "grupo"), "grupo")
+def _deduped(panel: DataFrame, variants: bool) -> DataFrame:
+    if not variants:
+        return dedup_companies(panel).withColumn("variantes", F.lit(None).cast("string"))
+    return dedup_companies(panel).join(variant_texts(symbols_with_group(panel), "grupo"), "grupo")
 
 
-def company_rows(companies: DataFrame) -> DataFrame:
+def company_rows(companies: DataFrame, variants: bool = True) -> DataFrame:
     t = F.col("ticker")
-    return _deduped(companies).filter(~is_known_duplicate(t)).select(
+    return _deduped(companies, variants).filter(~is_known_duplicate(t)).select(
         t.alias("ticker_usd"), t.alias("ticker_cedear"), F.coalesce(lookup(PRICE_SYMBOL, t), t).alias("ticker_yahoo"),
         F.lit(None).cast("string").alias("ticker_adr_usa"), market_of(t).alias("mercado"),
         title_case(F.col("empresa")).alias("nombre_empresa"), "variantes",
     )
 
 
-def local_rows(local_panel: DataFrame) -> DataFrame:
+def local_rows(local_panel: DataFrame, variants: bool = True) -> DataFrame:
     t = F.col("ticker")
-    return _deduped(local_panel).select(
+    return _deduped(local_panel, variants).select(
         t.alias("ticker_usd"), F.lit(None).cast("string").alias("ticker_cedear"), F.concat(t, F.lit(".BA")).alias("ticker_yahoo"),
         lookup(LOCAL_ADR, t).alias("ticker_adr_usa"), F.lit("argentina_local").alias("mercado"),
         title_case(F.col("empresa")).alias("nombre_empresa"), "variantes",
     )
 
 
-def universe(panel: DataFrame, local_panel: DataFrame) -> DataFrame:
-    """Companies, ETFs, local shares and crypto as one frame."""
+def universe(panel: DataFrame, local_panel: DataFrame, variants: bool = True) -> DataFrame:
+    """Companies, ETFs, local shares and crypto as one frame.
+
+    ``variants=False`` leaves the text of a company's symbols out, for panels where one company may have
+    more symbols than fit in a value; ``symbols_with_group`` keeps them as rows.
+    """
     split = split_etfs(panel)
     crypto = panel.sparkSession.createDataFrame(
         [(t, None, y, None, "cripto", n, t) for t, y, n in CRYPTO], ", ".join(f"{c} string" for c in UNIVERSE_COLUMNS)
     )
     return (
-        company_rows(split.filter(~F.col("es_etf")).drop("es_etf"))
+        company_rows(split.filter(~F.col("es_etf")).drop("es_etf"), variants)
         .unionByName(etf_rows(split.filter("es_etf")))
-        .unionByName(local_rows(local_panel))
+        .unionByName(local_rows(local_panel, variants))
         .unionByName(crypto)
     )
 

@@ -54,7 +54,8 @@ def refresh_gold(wh: Warehouse, as_of: dt.date, index_code: str = "SP500") -> No
     aligned = refuge.aligned_prices(refuge.eligible_prices(prices, dim), index)
     step("gold_refugio_episodios", refuge.episode_returns(aligned, index))
     step("gold_refugio", refuge.refuge(prices, series, dim, index_code))
-    fx = [r.serie for r in series.filter(F.col("serie").startswith("USD")).select("serie").distinct().limit(200).collect()]
+    # currency series only: at most one per three-letter code
+    fx = [r.serie for r in series.filter(F.col("serie").rlike("^USD[A-Z]{3}$")).select("serie").distinct().collect()]
     history, reading = valuation.historical_valuation(
         dim, prices, wh.read("fact_income_statement_annual"), series, comps.select("ticker_usd", "pe_trailing"), fx
     )
