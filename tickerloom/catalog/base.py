@@ -31,7 +31,7 @@ class Query:
         body = self.body.strip()
         outer = ", ".join(f"{_sql_column(n, t)} AS {n}" for n, t in self.columns)
         ctes = _needed_views(body)
-        prefix = "WITH " + ",\n".join(f"{v} AS ({VIEWS[v].strip()})" for v in ctes) + "\n" if ctes else ""
+        prefix = "WITH RECURSIVE " + ",\n".join(f"{v} AS ({VIEWS[v].strip()})" for v in ctes) + "\n" if ctes else ""
         return f"{prefix}SELECT {outer} FROM (\n{body}\n) AS q"
 
 
@@ -74,10 +74,12 @@ def query(name: str, columns: str, sql: str | None = None) -> Callable[[Build],
 
 def _needed_views(sql: str) -> list[str]:
     found: list[str] = []
+    entered: set[str] = set()
 
     def visit(text: str) -> None:
         for name in VIEWS:
-            if name not in found and re.search(rf"\b{name}\b", text):
+            if name not in entered and re.search(rf"\b{name}\b", text):
+                entered.add(name)
                 visit(VIEWS[name])
                 found.append(name)
 
@@ -204,6 +206,34 @@ FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY v DESC, ticker_usd) A
       FROM (SELECT year(fecha) AS y, ticker_usd, sum(volume) AS v, arg_max(adj_close, fecha) AS precio_seleccion
             FROM bars WHERE month(fecha) <= 6 GROUP BY 1, 2))
 WHERE k <= 18""",
+    "swing_base": """
+SELECT ticker_usd, fecha, adj_close AS x, umbral_pct, umbral_pct / 100 AS u, row_number() OVER (PARTITION BY ticker_usd ORDER BY fecha) AS i
+FROM (SELECT *, least(greatest(5 * stddev_pop(lr) OVER (PARTITION BY ticker_usd) * 100, 8), 30) AS umbral_pct, count(*) OVER (PARTITION BY ticker_usd) AS n
+      FROM (SELECT *, ln(adj_close) - ln(lag(adj_close) OVER (PARTITION BY ticker_usd ORDER BY fecha)) AS lr FROM bars WHERE adj_close > 0)) WHERE n >= 250""",
+    "swing_walk": """
+SELECT ticker_usd, i, 0 AS leg, i AS ih, x AS xh, i AS il, x AS xl, CAST(NULL AS VARCHAR) AS tipo, CAST(NULL AS BIGINT) AS ip FROM swing_base WHERE i = 1
+UNION ALL
+SELECT ticker_usd, i, CASE WHEN turn_h THEN -1 WHEN turn_l THEN 1 ELSE leg END, CASE WHEN turn_l THEN i ELSE ih END, CASE WHEN turn_l THEN x ELSE xh END,
+       CASE WHEN turn_h THEN i ELSE il END, CASE WHEN turn_h THEN x ELSE xl END, CASE WHEN turn_h THEN 'H' WHEN turn_l THEN 'L' END, CASE WHEN turn_h THEN ih WHEN turn_l THEN il END
+FROM (SELECT *, leg >= 0 AND x <= xh * (1 - u) AS turn_h, NOT (leg >= 0 AND x <= xh * (1 - u)) AND leg <= 0 AND x >= xl * (1 + u) AS turn_l
+      FROM (SELECT b.ticker_usd, b.i, b.x, b.u, w.leg, CASE WHEN leg >= 0 AND b.x > xh THEN b.i ELSE ih END AS ih, CASE WHEN leg >= 0 AND b.x > xh THEN b.x ELSE xh END AS xh,
+                   CASE WHEN leg <= 0 AND b.x < xl THEN b.i ELSE il END AS il, CASE WHEN leg <= 0 AND b.x < xl THEN b.x ELSE xl END AS xl
+            FROM swing_walk w JOIN swing_base b ON b.ticker_usd = w.ticker_usd AND b.i = w.i + 1))""",
+    "pivots": """
+SELECT w.ticker_usd, row_number() OVER (PARTITION BY w.ticker_usd ORDER BY w.i) AS nro_pivot, p.fecha, p.x AS precio, w.tipo, c.fecha AS fecha_confirmacion
+FROM swing_walk w JOIN swing_base p ON p.ticker_usd = w.ticker_usd AND p.i = w.ip JOIN swing_base c ON c.ticker_usd = w.ticker_usd AND c.i = w.i WHERE w.tipo IS NOT NULL""",
+    "labelled_pivots": """
+SELECT *, CASE WHEN tipo = 'H' AND c > a AND d > b AND e > b AND f > d AND NOT (d - c < b - a AND d - c < f - e) THEN 'Impulso alcista completo'
+               WHEN tipo = 'L' AND c < a AND d < b AND e < b AND f < d AND NOT (c - d < a - b AND c - d < e - f) THEN 'Impulso bajista completo'
+               WHEN tipo = 'L' AND d > b AND e > c AND f > c THEN 'Ondas 1-4 alcistas, 5 en curso' WHEN tipo = 'H' AND d < b AND e < c AND f < c THEN 'Ondas 1-4 bajistas, 5 en curso' END AS elliott_senal
+FROM (SELECT *, ln(precio) AS f, ln(lag(precio, 1) OVER w) AS e, ln(lag(precio, 2) OVER w) AS d, ln(lag(precio, 3) OVER w) AS c, ln(lag(precio, 4) OVER w) AS b, ln(lag(precio, 5) OVER w) AS a
+      FROM pivots WINDOW w AS (PARTITION BY ticker_usd ORDER BY nro_pivot))""",
+    "swing_state": """
+SELECT *, (last - actual) / nullif(last - prev, 0) * 100 AS back FROM (
+  SELECT p.ticker_usd, count(*) AS total, arg_max(tipo, nro_pivot) AS tipo, arg_max(precio, nro_pivot) AS last, arg_max(previo, nro_pivot) AS prev, arg_max(coalesce(elliott_senal, 'Sin patrón'), nro_pivot) AS senal,
+         max(s.actual) AS actual, max(s.fecha) AS fecha
+  FROM (SELECT *, lag(precio) OVER (PARTITION BY ticker_usd ORDER BY nro_pivot) AS previo FROM labelled_pivots) p
+  JOIN (SELECT ticker_usd, arg_max(x, fecha) AS actual, max(fecha) AS fecha FROM swing_base GROUP BY 1) s ON s.ticker_usd = p.ticker_usd GROUP BY 1) WHERE total >= 2""",
     "top5": """
 SELECT ticker_usd, row_number() OVER (ORDER BY v DESC, ticker_usd) - 1 AS i
 FROM (SELECT 'S' || l_suppkey AS ticker_usd, CAST(sum(l_quantity) AS BIGINT) AS v FROM lineitem GROUP BY 1)

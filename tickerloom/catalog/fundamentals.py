@@ -341,7 +341,17 @@ def new_headlines(spark, sf):
     return N.new_headlines(n.filter(~cut), n.filter(cut))
 
 
-@query("headline_scores", "ticker_usd orden:i sentimiento score_sentimiento:f4")
+_HITS = "len(regexp_extract_all(lower(titular), '{}'))"
+
+
+@query(
+    "headline_scores",
+    "ticker_usd orden:i sentimiento score_sentimiento:f4",
+    f"""
+SELECT ticker_usd, orden, CASE WHEN g > b THEN 'positive' WHEN b > g THEN 'negative' ELSE 'neutral' END AS sentimiento, round((1 + abs(g - b)) / CAST(2 + g + b AS DOUBLE), 3) AS score_sentimiento
+FROM (SELECT n.ticker_usd, n.orden, {_HITS.format(N.LexiconScorer().good)} AS g, {_HITS.format(N.LexiconScorer().bad)} AS b FROM news n WHERE fecha_publicacion >= DATE '2024-01-20'
+  AND NOT EXISTS (SELECT 1 FROM news o WHERE o.fecha_publicacion < DATE '2024-01-20' AND o.ticker_usd = n.ticker_usd AND o.titular = n.titular))""",
+)
 def headline_scores(spark, sf):
     n = A.news(spark, sf)
     cut = F.col("fecha_publicacion") < F.lit("2024-01-20").cast("date")

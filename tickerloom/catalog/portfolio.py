@@ -107,7 +107,23 @@ def external_alerts(spark, sf):
     return P.external_alerts(candidates_of(spark, sf))
 
 
-@query("portfolio_select", "ticker_usd puesto:i sector region score_compuesto:f6")
+WALK_SQL = """
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS ts, CAST([] AS VARCHAR[]) AS ss, CAST([] AS VARCHAR[]) AS rs
+  UNION ALL
+  SELECT k2, CASE WHEN ok THEN list_append(ts, ticker_usd) ELSE ts END, CASE WHEN ok THEN list_append(ss, sector) ELSE ss END, CASE WHEN ok THEN list_append(rs, region) ELSE rs END
+  FROM (SELECT w.*, r2.ticker_usd, r2.sector, r2.region, r2.k AS k2,
+               len(list_filter(w.ss, lambda x: x = r2.sector)) < 2 AND len(list_filter(w.rs, lambda x: x = r2.region)) < 2 AND len(w.ts) < 9 AS ok
+        FROM walk w JOIN r r2 ON r2.k = w.k + 1) x),
+chosen AS (SELECT t.ticker_usd, t.puesto, r.* EXCLUDE (ticker_usd) FROM (SELECT unnest(ts) AS ticker_usd, generate_subscripts(ts, 1) AS puesto FROM (SELECT * FROM walk ORDER BY k DESC LIMIT 1)) t
+           JOIN r ON r.ticker_usd = t.ticker_usd)"""
+REGION_SQL = "CASE WHEN mercado IN ('argentina_local', 'brasil') THEN mercado ELSE pais_origen END AS region"
+SELECTED_SQL = f"""
+WITH RECURSIVE r AS MATERIALIZED (SELECT ticker_usd, sector, {REGION_SQL}, score_compuesto, row_number() OVER (ORDER BY score_compuesto DESC, ticker_usd) AS k FROM ({RANKED_SQL})),
+{WALK_SQL}"""
+
+
+@query("portfolio_select", "ticker_usd puesto:i sector region score_compuesto:f6", SELECTED_SQL + " SELECT * FROM chosen")
 def portfolio_select(spark, sf):
     return P.select_diversified(ranked_of(spark, sf))
 
@@ -116,20 +132,13 @@ def portfolio_select(spark, sf):
     "select_by_volume",
     "ticker_usd puesto:i sector region",
     """
-WITH RECURSIVE r AS (
-  SELECT ticker_usd, sector, CASE WHEN mercado IN ('argentina_local', 'brasil') THEN mercado ELSE pais_origen END AS region,
-         row_number() OVER (ORDER BY v DESC, ticker_usd) AS k
-  FROM (SELECT d.ticker_usd, sector, mercado, pais_origen, v FROM dim d JOIN (SELECT ticker_usd, sum(volume) AS v FROM bars GROUP BY 1) b ON b.ticker_usd = d.ticker_usd)),
-walk AS (
-  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS ts, CAST([] AS VARCHAR[]) AS ss, CAST([] AS VARCHAR[]) AS rs
-  UNION ALL
-  SELECT r.k, CASE WHEN ok THEN list_append(ts, r.ticker_usd) ELSE ts END, CASE WHEN ok THEN list_append(ss, r.sector) ELSE ss END,
-         CASE WHEN ok THEN list_append(rs, r.region) ELSE rs END
-  FROM (SELECT w.*, r2.ticker_usd, r2.sector, r2.region, r2.k AS k2,
-               len(list_filter(w.ss, lambda x: x = r2.sector)) < 2 AND len(list_filter(w.rs, lambda x: x = r2.region)) < 2 AND len(w.ts) < 9 AS ok
-        FROM walk w JOIN r r2 ON r2.k = w.k + 1) x JOIN r ON r.k = x.k2)
-SELECT t.ticker_usd, t.puesto, r.sector, r.region
-FROM (SELECT unnest(ts) AS ticker_usd, generate_subscripts(ts, 1) AS puesto FROM (SELECT * FROM walk ORDER BY k DESC LIMIT 1)) t JOIN r ON r.ticker_usd = t.ticker_usd""",
+WITH RECURSIVE r AS MATERIALIZED (
+  SELECT ticker_usd, sector, """
+    + REGION_SQL
+    + """, row_number() OVER (ORDER BY v DESC, ticker_usd) AS k
+  FROM (SELECT d.ticker_usd, sector, mercado, pais_origen, v FROM dim d JOIN (SELECT ticker_usd, sum(volume) AS v FROM bars GROUP BY 1) b ON b.ticker_usd = d.ticker_usd)),"""
+    + WALK_SQL
+    + " SELECT * FROM chosen",
 )
 def select_by_volume(spark, sf):
     traded = A.bars(spark, sf).groupBy("ticker_usd").agg(F.sum("volume").cast("double").alias("score_compuesto"))
@@ -139,6 +148,9 @@ def select_by_volume(spark, sf):
 @query(
     "save_portfolio",
     "fecha_seleccion origen ticker_usd puesto:i precio_seleccion:f6",
+    SELECTED_SQL
+    + """ SELECT max(f) OVER () AS fecha_seleccion, 'manual' AS origen, c.ticker_usd, puesto, precio_seleccion
+FROM chosen c JOIN (SELECT ticker_usd, max(fecha) AS f, arg_max(adj_close, fecha) AS precio_seleccion FROM bars GROUP BY 1) b ON b.ticker_usd = c.ticker_usd""",
 )
 def save_portfolio(spark, sf):
     chosen = P.external_alerts(P.select_diversified(ranked_of(spark, sf)))
@@ -181,7 +193,13 @@ def stretch_groups(spark, sf):
     return P.stretch_groups(styles_of(spark, sf), health_of(spark, sf), T.technical(b, rounded_output=False), upside_of(spark, sf), waves)
 
 
-@query("watch_states", "ticker_usd grupo estado onda_pierna_actual pasa_liquidez:b")
+@query(
+    "watch_states", "ticker_usd estado onda_pierna_actual pasa_liquidez:b",
+    f"""
+SELECT l.ticker_usd, CASE WHEN tech_rsi14 <= 30 THEN 'Cayendo, sobrevendida' WHEN w.tipo = 'H' THEN 'Cayendo' ELSE 'Rebotando' END AS estado,
+       CASE w.tipo WHEN 'H' THEN 'Baja' WHEN 'L' THEN 'Suba' END AS onda_pierna_actual, coalesce(tech_volumen_prom_30d >= 50000, false) AS pasa_liquidez
+FROM ({HEALTH_SQL}) l LEFT JOIN ({TECH_SQL}) t ON t.ticker_usd = l.ticker_usd LEFT JOIN swing_state w ON w.ticker_usd = l.ticker_usd""",
+)
 def watch_states(spark, sf):
     return stretch_groups(spark, sf)
 
@@ -237,10 +255,7 @@ def asof_around_reports(spark, sf):
     return MO.report_reaction(reports, A.bars(spark, sf))
 
 
-@query(
-    "watchlist_levels",
-    "ticker_usd fecha_precio precio:f4 dia_pct:f4 ultimas_5_ruedas_pct:f4 proximo_reporte ultimo_reporte reaccion_dia_reporte_pct:f4 desde_pre_reporte_pct:f4",
-    f"""
+WATCH_SQL = f"""
 WITH fr AS ({WATCH_REPORTS_SQL.format(within=5)}), h AS (SELECT max(fecha) AS h FROM bars),
 px AS (SELECT ticker_usd, fecha, adj_close, lag(adj_close) OVER w AS p1, lag(adj_close, 5) OVER w AS p5 FROM bars WINDOW w AS (PARTITION BY ticker_usd ORDER BY fecha)
        QUALIFY row_number() OVER (PARTITION BY ticker_usd ORDER BY fecha DESC) = 1),
@@ -250,7 +265,13 @@ rx AS (SELECT re.ticker_usd, ur, arg_max(adj_close, fecha) FILTER (WHERE fecha <
 SELECT w.ticker_usd, px.fecha AS fecha_precio, px.adj_close AS precio, (px.adj_close / p1 - 1) * 100 AS dia_pct, (px.adj_close / p5 - 1) * 100 AS ultimas_5_ruedas_pct,
        (SELECT min(fecha_reporte) FROM fr WHERE fr.ticker_usd = w.ticker_usd AND fecha_reporte > (SELECT h FROM h)) AS proximo_reporte, rx.ur AS ultimo_reporte,
        (rx.dia / rx.pre - 1) * 100 AS reaccion_dia_reporte_pct, (px.adj_close / rx.pre - 1) * 100 AS desde_pre_reporte_pct
-FROM watch w JOIN dim d ON d.ticker_usd = w.ticker_usd LEFT JOIN px ON px.ticker_usd = w.ticker_usd LEFT JOIN rx ON rx.ticker_usd = w.ticker_usd WHERE w.activo""",
+FROM watch w JOIN dim d ON d.ticker_usd = w.ticker_usd LEFT JOIN px ON px.ticker_usd = w.ticker_usd LEFT JOIN rx ON rx.ticker_usd = w.ticker_usd WHERE w.activo"""
+
+
+@query(
+    "watchlist_levels",
+    "ticker_usd fecha_precio precio:f4 dia_pct:f4 ultimas_5_ruedas_pct:f4 proximo_reporte ultimo_reporte reaccion_dia_reporte_pct:f4 desde_pre_reporte_pct:f4",
+    WATCH_SQL,
 )
 def watchlist_levels(spark, sf):
     return _watch(spark, sf)
@@ -264,11 +285,6 @@ def _watch(spark, sf):
     )
 
 
-@query("watchlist_alerts", "ticker_usd activas:i senales:i n_alertas:i")
-def watchlist_alerts(spark, sf):
-    return _watch(spark, sf)
-
-
 SIGNALS_SQL = {
     "moneda_estable": """
 SELECT w.ticker_usd, 'moneda_estable' AS senal, n >= 6 AND coalesce((v1 / v6 - 1) * 100 <= 0, false) AS activa FROM watch w JOIN (
@@ -303,6 +319,23 @@ ALL_SIGNALS_SQL = " UNION ALL ".join(f"SELECT ticker_usd, senal, activa FROM ({s
 SIGNAL_COLUMNS = "ticker_usd senal activa:b"
 
 
+@query(
+    "watchlist_alerts",
+    "ticker_usd activas:i senales:i n_alertas:i",
+    f"""
+SELECT v.ticker_usd, s.activas, s.senales,
+       CAST(coalesce(precio <= nivel_salida, false) OR coalesce(precio <= nivel_soporte, false) AS INTEGER) + CAST(coalesce(precio >= nivel_resistencia, false) AS INTEGER)
+       + CAST(coalesce(proximo_reporte - (SELECT max(fecha) FROM bars) <= 7, false) AS INTEGER) + CAST(ultimo_reporte IS NOT NULL AS INTEGER)
+       + CAST(coalesce(ultimas_5_ruedas_pct <= -10, false) AS INTEGER) + CAST(coalesce(tech_rsi14 <= 25 OR tech_rsi14 >= 80, false) AS INTEGER)
+       + CAST(e.ticker_usd IS NOT NULL AS INTEGER) + CAST(s.activas >= 3 AS INTEGER) AS n_alertas
+FROM ({WATCH_SQL}) v JOIN watch w ON w.ticker_usd = v.ticker_usd JOIN (SELECT ticker_usd, count(*) AS senales, count(*) FILTER (WHERE activa) AS activas FROM ({ALL_SIGNALS_SQL}) GROUP BY 1) s
+  ON s.ticker_usd = v.ticker_usd LEFT JOIN ({TECH_SQL}) t ON t.ticker_usd = v.ticker_usd
+LEFT JOIN (SELECT DISTINCT ticker_usd FROM ({QUALITY_BODY.format(behind=7)}) WHERE severidad = 'error') e ON e.ticker_usd = v.ticker_usd""",
+)
+def watchlist_alerts(spark, sf):
+    return _watch(spark, sf)
+
+
 @query("signal_currency_stable", SIGNAL_COLUMNS, SIGNALS_SQL["moneda_estable"])
 def signal_currency_stable(spark, sf):
     return SG.currency_stable(A.watchlist(spark, sf), A.macro(spark, sf), A.last_day(spark, sf))
@@ -396,24 +429,41 @@ def swing_thresholds(spark, sf):
     return SW.swing_thresholds(A.bars(spark, sf))
 
 
-@query("zigzag_pivots", "ticker_usd nro_pivot:i fecha precio:f6 tipo fecha_confirmacion elliott_senal")
+@query("zigzag_pivots", "ticker_usd nro_pivot:i fecha precio:f6 tipo fecha_confirmacion elliott_senal", "SELECT * FROM labelled_pivots")
 def zigzag_pivots(spark, sf):
     return SW.with_elliott(SW.zigzag(A.bars(spark, sf)))
 
 
-@query("wave_state", "ticker_usd fecha onda_pivots_total:i onda_pierna_actual onda_fib_retroceso_pct:f4 onda_fib_nivel_cercano:f1 onda_fib_618:f4 onda_elliott_candidato")
+@query(
+    "wave_state",
+    "ticker_usd fecha onda_pivots_total:i onda_pierna_actual onda_fib_retroceso_pct:f4 onda_fib_nivel_cercano:f1 onda_fib_618:f4 onda_elliott_candidato",
+    """
+SELECT ticker_usd, fecha, total AS onda_pivots_total, CASE tipo WHEN 'H' THEN 'Baja' ELSE 'Suba' END AS onda_pierna_actual, back AS onda_fib_retroceso_pct,
+       CASE WHEN abs(nivel - back) <= 3 THEN nivel END AS onda_fib_nivel_cercano, last - 0.618e0 * (last - prev) AS onda_fib_618, senal AS onda_elliott_candidato
+FROM (SELECT s.*, arg_min(l, ROW(abs(l - back), l)) AS nivel FROM swing_state s, (VALUES (23.6e0), (38.2e0), (50e0), (61.8e0), (78.6e0), (100e0)) v(l) GROUP BY ALL)""",
+)
 def wave_state(spark, sf):
     b = A.bars(spark, sf)
     return SW.wave_state(SW.zigzag(b), b, rounded_output=False)
 
 
-@query("pivot_backtest", "tipo senal n:i mediana_pct:f4 media_pct:f4 pct_positivo:f4")
+OUTCOMES_SQL = """
+SELECT g.tipo, coalesce(elliott_senal, '(sin patrón)') AS senal, CASE WHEN adj_close > pp THEN 'venía subiendo' ELSE 'venía bajando' END AS momentum_6m, pf / adj_close - 1 AS r
+FROM labelled_pivots g JOIN (SELECT ticker_usd, fecha, adj_close, lead(adj_close, 63) OVER w AS pf, lag(adj_close, 126) OVER w AS pp FROM bars WHERE adj_close > 0
+                             WINDOW w AS (PARTITION BY ticker_usd ORDER BY fecha)) x ON x.ticker_usd = g.ticker_usd AND x.fecha = g.fecha_confirmacion WHERE pf IS NOT NULL AND pp IS NOT NULL"""
+BACKTEST_STATS = "count(*) AS n, median(r) * 100 AS mediana_pct, avg(r) * 100 AS media_pct, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0 END) * 100 AS pct_positivo"
+
+
+@query("pivot_backtest", "tipo senal n:i mediana_pct:f4 media_pct:f4 pct_positivo:f4", f"SELECT tipo, senal, {BACKTEST_STATS} FROM ({OUTCOMES_SQL}) GROUP BY 1, 2")
 def pivot_backtest(spark, sf):
     b = A.bars(spark, sf)
     return SW.pivot_backtest(SW.pivot_outcomes(SW.zigzag(b), b))
 
 
-@query("pivot_backtest_momentum", "tipo momentum_6m senal n:i mediana_pct:f4 media_pct:f4 pct_positivo:f4")
+@query(
+    "pivot_backtest_momentum", "tipo momentum_6m senal n:i mediana_pct:f4 media_pct:f4 pct_positivo:f4",
+    f"SELECT tipo, momentum_6m, senal, {BACKTEST_STATS} FROM ({OUTCOMES_SQL}) GROUP BY 1, 2, 3",
+)
 def pivot_backtest_momentum(spark, sf):
     b = A.bars(spark, sf)
     return SW.pivot_backtest(SW.pivot_outcomes(SW.zigzag(b), b), by_momentum=True)

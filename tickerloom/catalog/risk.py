@@ -122,7 +122,18 @@ def portfolio_grid(spark, sf):
     return grid.select("*", *[F.col("pesos")[i].alias(f"w{i}") for i in range(3)])
 
 
-@query("portfolio_frontier", "tramo:i retorno:f6 vol:f6")
+@query(
+    "portfolio_frontier",
+    "tramo:i retorno:f6 vol:f6",
+    f"""
+WITH {_wide_sql(3)},
+mo AS (SELECT avg(r0) * 252 AS m0, avg(r1) * 252 AS m1, avg(r2) * 252 AS m2, var_samp(r0) * 252 AS v0, var_samp(r1) * 252 AS v1, var_samp(r2) * 252 AS v2,
+              covar_samp(r0, r1) * 252 AS c01, covar_samp(r0, r2) * 252 AS c02, covar_samp(r1, r2) * 252 AS c12 FROM cr),
+g AS (SELECT a / 20e0 AS w0, b / 20e0 AS w1, (20 - a - b) / 20e0 AS w2 FROM range(21) x(a), range(21) y(b) WHERE a + b <= 20),
+p AS (SELECT w0 * m0 + w1 * m1 + w2 * m2 AS retorno, least(m0, m1, m2) AS lo, greatest(m0, m1, m2) AS hi,
+             sqrt(w0 * w0 * v0 + w1 * w1 * v1 + w2 * w2 * v2 + 2 * w0 * w1 * c01 + 2 * w0 * w2 * c02 + 2 * w1 * w2 * c12) AS vol FROM g, mo)
+SELECT least(greatest(floor((retorno - lo) / (hi - lo) * 25), 0), 24) AS tramo, arg_min(retorno, vol) AS retorno, min(vol) AS vol FROM p GROUP BY 1""",
+)
 def portfolio_frontier(spark, sf):
     return K.portfolio_grid(A.bars(spark, sf), _portfolio(spark, sf), steps=20).filter("es_frontera")
 
@@ -133,17 +144,39 @@ def _portfolio_returns(spark, sf):
     return M.equal_weight_basket(A.bars(spark, sf)).select("fecha", tame.alias("r"))
 
 
-@query("block_bootstrap", "escenario mediana_pct:f4 p5_pct:f4 cvar_pct:f4 p95_pct:f4 perdida_pct:f4 dd_mediana_pct:f4 dd_p5_pct:f4")
-def block_bootstrap(spark, sf):
-    return K.simulate_year(_portfolio_returns(spark, sf), n_sims=500)
-
-
 MARKET_SQL = """
 SELECT fecha, greatest(least(coalesce(s / nullif(coalesce(sum(nuevos) OVER (ORDER BY fecha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), 0) / 1000, 0.02), -0.02) AS r
 FROM (SELECT fecha, sum(r) AS s, count(*) FILTER (WHERE r IS NULL) AS nuevos
       FROM (SELECT fecha, adj_close / lag(adj_close) OVER (PARTITION BY ticker_usd ORDER BY fecha) - 1 AS r FROM bars) GROUP BY fecha)"""
 
 
+def _paths_sql(sims: int, horizon: int) -> str:
+    return f"""
+h AS MATERIALIZED (SELECT r, row_number() OVER (ORDER BY fecha) - 1 AS i, count(*) OVER () AS n, avg(r) OVER () AS media FROM ({MARKET_SQL})),
+paths AS MATERIALIZED (
+  SELECT sim, paso, e.escenario, CASE e.escenario WHEN 'historico' THEN h.r ELSE h.r - h.media + (pow(1.08e0, 1e0 / 252) - 1) END AS r
+  FROM (SELECT sim, b * 21 + o + 1 AS paso, (s + o) % (SELECT max(n) FROM h) AS i
+        FROM (SELECT sim, b, CAST('0x' || substr(md5('42-' || sim || '-' || b), 1, 12) AS BIGINT) % (SELECT max(n) FROM h) AS s FROM range({sims}) x(sim), range({-(-horizon // 21)}) y(b)), range(21) z(o)) p
+  JOIN h ON h.i = p.i, (SELECT unnest(['historico', 'conservador']) AS escenario) e WHERE paso <= {horizon})"""
+
+
+@query(
+    "block_bootstrap",
+    "escenario mediana_pct:f4 p5_pct:f4 cvar_pct:f4 p95_pct:f4 perdida_pct:f4 dd_mediana_pct:f4 dd_p5_pct:f4",
+    f"""
+WITH {_paths_sql(500, 252)},
+w AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY escenario, sim ORDER BY paso)) AS v FROM paths),
+e AS (SELECT escenario, sim, arg_max(v, paso) - 1 AS final, min(least(v / m - 1, 0)) AS dd
+      FROM (SELECT *, greatest(max(v) OVER (PARTITION BY escenario, sim ORDER BY paso), 1) AS m FROM w) GROUP BY 1, 2),
+q AS (SELECT escenario, median(final) AS md, quantile_cont(final, 0.05) AS p5, quantile_cont(final, 0.95) AS p95, median(dd) AS dm, quantile_cont(dd, 0.05) AS d5,
+             avg(CASE WHEN final < 0 THEN 1e0 ELSE 0 END) AS l FROM e GROUP BY 1)
+SELECT q.escenario, md * 100 AS mediana_pct, p5 * 100 AS p5_pct, (SELECT avg(final) FROM e WHERE e.escenario = q.escenario AND e.final <= q.p5) * 100 AS cvar_pct, p95 * 100 AS p95_pct,
+       l * 100 AS perdida_pct, dm * 100 AS dd_mediana_pct, d5 * 100 AS dd_p5_pct FROM q""",
+)
+def block_bootstrap(spark, sf):
+    return K.simulate_year(_portfolio_returns(spark, sf), n_sims=500)
+
+
 @query(
     "cashflow_terminal",
     "orden plan valor:f4",
@@ -162,7 +195,21 @@ def cashflow_terminal(spark, sf):
     return K.order_of_returns(_portfolio_returns(spark, sf))
 
 
-@query("sequence_risk", "plan mediano:f4 peor_5:f4 mediano_mal_primer_anio:f4 mediano_mal_ultimo_anio:f4 corr_primer_anio:f4 corr_ultimo_anio:f4")
+@query(
+    "sequence_risk",
+    "plan mediano:f4 peor_5:f4 mediano_mal_primer_anio:f4 mediano_mal_ultimo_anio:f4 corr_primer_anio:f4 corr_ultimo_anio:f4",
+    f"""
+WITH RECURSIVE {_paths_sql(300, 504)},
+walk AS (
+  SELECT CAST(sim AS BIGINT) AS sim, plan, flujo, CAST(0 AS BIGINT) AS paso, CAST(100 AS DOUBLE) AS v FROM range(300) x(sim), (VALUES ('sin flujos', 0e0), ('aporta', 0.5e0), ('retira', -0.5e0)) f(plan, flujo)
+  UNION ALL
+  SELECT w.sim, w.plan, w.flujo, p.paso, CASE WHEN p.paso % 21 = 0 THEN greatest(w.v * (1 + p.r) + w.flujo, 0) ELSE w.v * (1 + p.r) END
+  FROM walk w JOIN paths p ON p.escenario = 'conservador' AND p.sim = w.sim AND p.paso = w.paso + 1),
+y AS (SELECT sim, exp(sum(CASE WHEN paso <= 252 THEN ln(1 + r) ELSE 0 END)) - 1 AS a, exp(sum(CASE WHEN paso > 252 THEN ln(1 + r) ELSE 0 END)) - 1 AS z FROM paths WHERE escenario = 'conservador' GROUP BY 1),
+e AS (SELECT walk.sim, plan, v, a, z FROM walk JOIN y ON y.sim = walk.sim WHERE paso = 504)
+SELECT plan, median(v) AS mediano, quantile_cont(v, 0.05) AS peor_5, median(v) FILTER (WHERE a <= (SELECT quantile_cont(a, 1e0 / 3) FROM y)) AS mediano_mal_primer_anio,
+       median(v) FILTER (WHERE z <= (SELECT quantile_cont(z, 1e0 / 3) FROM y)) AS mediano_mal_ultimo_anio, corr(v, a) AS corr_primer_anio, corr(v, z) AS corr_ultimo_anio FROM e GROUP BY 1""",
+)
 def sequence_risk(spark, sf):
     return K.sequence_risk(_portfolio_returns(spark, sf), horizon=504, n_sims=300)
 
