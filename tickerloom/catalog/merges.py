@@ -225,7 +225,7 @@ ba AS (SELECT DISTINCT CASE WHEN right(simbolo, 1) IN ('C', 'D') AND substr(simb
 IS_ETF = """(simbolo IN (SELECT simbolo FROM et) OR simbolo IN (SELECT b FROM ba)
        OR (right(simbolo, 1) IN ('C', 'D') AND substr(simbolo, 1, length(simbolo) - 1) IN (SELECT b FROM ba)))"""
 TITLE = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')"
-GROUP_SQL = """
+GROUP_SQL = r"""
 {name}_named AS (SELECT *, regexp_replace(lower(empresa), '[^a-z0-9]', '', 'g') AS clave
           FROM (SELECT *, trim(regexp_replace(trim(regexp_replace(descripcion, '(?i)^cedear\s+', '')), '[.,]+$', '')) AS empresa FROM {source})),
 {name}_keys AS (SELECT DISTINCT clave FROM {name}_named),
