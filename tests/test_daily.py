@@ -43,4 +43,4 @@ def test_a_day_over_the_warehouse(spark, tmp_path):
     ticker = saved.first().ticker_usd
     assert daily.evaluate(wh, calendar_ticker=ticker).count() <= 1
     log = {(r.script, r.estado) for r in wh.read("log_ejecuciones").collect()}
-    assert ("gold_ondas", "ok") in log and ("monitoreo_cartera", "ok") in log
+    assert ("gold_ondas", "ok") in log and ("follow_up", "ok") in log

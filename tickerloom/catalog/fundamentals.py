@@ -374,7 +374,7 @@ def valuation_index(spark, sf):
 READING_SQL = f"""
 WITH cfg AS (SELECT d.ticker_usd, CASE WHEN moneda_balance IS DISTINCT FROM moneda_cotizacion AND moneda_cotizacion = 'USD' THEN 'USD' || moneda_balance END AS fx,
                     CASE WHEN d.ticker_usd NOT IN (SELECT ticker_usd FROM bars WHERE close > 0) THEN 'Sin precios'
-                         WHEN moneda_balance IS NULL OR moneda_cotizacion IS NULL THEN 'Sin moneda (la completa analisis_fundamental_liviano.py)'
+                         WHEN moneda_balance IS NULL OR moneda_cotizacion IS NULL THEN 'Sin moneda'
                          WHEN moneda_balance <> moneda_cotizacion AND moneda_cotizacion <> 'USD' THEN 'No calculable: precio en ' || moneda_cotizacion || ' y balance en ' || moneda_balance || ': sin conversion'
                          WHEN moneda_balance <> moneda_cotizacion AND ('USD' || moneda_balance) NOT IN (SELECT serie FROM macro WHERE serie IS NOT NULL) THEN 'No calculable: sin serie USD' || moneda_balance END AS motivo
              FROM dim d WHERE mercado NOT IN ('cripto', 'etf')),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickerloom.catalog.base import query
+from tickerloom.catalog.base import QUERIES, query
 from tickerloom.catalog.fundamentals import (
     COMPS_SQL,
     HEALTH_SQL,
@@ -21,6 +21,7 @@ from tickerloom.catalog.prices import QUALITY_BODY, TECH_SQL, quality_of
 from tickerloom.operators import monitor as MO
 from tickerloom.operators import portfolio as P
 from tickerloom.operators import refuge as RF
+from tickerloom.operators import research as R
 from tickerloom.operators import signals as SG
 from tickerloom.operators import swings as SW
 from tickerloom.operators import technical as T
@@ -467,3 +468,48 @@ def pivot_backtest(spark, sf):
 def pivot_backtest_momentum(spark, sf):
     b = A.bars(spark, sf)
     return SW.pivot_backtest(SW.pivot_outcomes(SW.zigzag(b), b), by_momentum=True)
+
+
+@query(
+    "trend_crosstab",
+    "tech_tendencia tech_macd_cruce n:i",
+    f"SELECT tech_tendencia, tech_macd_cruce, count(*) AS n FROM ({TECH_SQL}) GROUP BY 1, 2",
+)
+def trend_crosstab(spark, sf):
+    return R.crosstab(T.technical(A.bars(spark, sf)), "tech_tendencia", "tech_macd_cruce")
+
+
+@query(
+    "compression",
+    "ticker_usd compresion:f6",
+    f"SELECT * FROM (SELECT ticker_usd, tech_bb_ancho_pct / nullif(tech_atr14_pct, 0) AS compresion FROM ({TECH_SQL})) WHERE compresion IS NOT NULL",
+)
+def compression(spark, sf):
+    return R.compression(T.technical(A.bars(spark, sf), rounded_output=False))
+
+
+VEHICLES_SQL = """
+SELECT *, CASE WHEN mercado = 'brasil' THEN 'BDR' ELSE 'ADR directo' END AS vehiculo, CASE ticker_usd WHEN 'S3' THEN 'S4' WHEN 'S4' THEN 'S3' END AS duplica_de
+FROM dim WHERE (mercado = 'brasil' AND ticker_usd <> 'S5') OR (mercado = 'usa_otros' AND pais_origen ILIKE '%nation_1%')"""
+
+
+def _vehicles(spark, sf):
+    return R.country_vehicles(A.dim(spark, sf), "brasil", "Nation_1", ("S5",), {"S3": "S4", "S4": "S3"})
+
+
+@query("country_vehicles", "ticker_usd mercado vehiculo duplica_de", VEHICLES_SQL)
+def country_vehicles(spark, sf):
+    return _vehicles(spark, sf)
+
+
+@query(
+    "country_ranking",
+    "ticker_usd vehiculo lynch_checklist_score:i lynch_categoria_auto comp_pe_vs_sector_pct:f4 retorno_limpio_pct:f4 corr_vs_usdbrl:f6 corr_vs_sp500:f6",
+    f"""
+SELECT l.ticker_usd, vehiculo, lynch_checklist_score, lynch_categoria_auto, comp_pe_vs_sector_pct, retorno_limpio_pct, corr_vs_usdbrl, corr_vs_sp500
+FROM ({STYLE_SQL}) l JOIN ({VEHICLES_SQL}) v ON v.ticker_usd = l.ticker_usd JOIN ({COMPS_SQL}) c ON c.ticker_usd = l.ticker_usd
+LEFT JOIN ({QUERIES['fx_clean_returns'].body}) x ON x.ticker_usd = l.ticker_usd JOIN ({QUERIES['factor_exposure'].body}) e ON e.ticker_usd = l.ticker_usd""",
+)
+def country_ranking(spark, sf):
+    clean, exposure = QUERIES["fx_clean_returns"].build(spark, sf), QUERIES["factor_exposure"].build(spark, sf)
+    return R.country_ranking(_vehicles(spark, sf), styles_of(spark, sf), comps_of(spark, sf), clean, exposure)

@@ -77,7 +77,7 @@ def technical(spark, sf):
 
 @query(
     "moving_levels",
-    "ticker_usd fecha sma20:f4 std20:f4 sma50:f4 sma200:f4 dias_sma200:i max_52s:f6 min_52s:f6 precio_1m:f6 precio_3m:f6 precio_6m:f6",
+    "ticker_usd fecha sma20:f6 std20:f6 sma50:f6 sma200:f6 dias_sma200:i max_52s:f6 min_52s:f6 precio_1m:f6 precio_3m:f6 precio_6m:f6",
     """
 SELECT ticker_usd, fecha, avg(adj_close) OVER (w ROWS 19 PRECEDING) AS sma20, stddev_pop(adj_close) OVER (w ROWS 19 PRECEDING) AS std20,
        avg(adj_close) OVER (w ROWS 49 PRECEDING) AS sma50, avg(adj_close) OVER (w ROWS 199 PRECEDING) AS sma200,

@@ -186,3 +186,35 @@ def series_summary(series: DataFrame, since: dt.date | Column, months: tuple[int
             F.col("l.fecha").alias("fecha_minimo_posterior"), change_pct("ult", F.col("l.valor")).alias("desde_minimo_pct"),
         )
     )
+
+
+def country_vehicles(
+    dim: DataFrame, market: str, country: str, excluded: tuple[str, ...] = (), duplicates: dict[str, str] | None = None
+) -> DataFrame:
+    """Companies of a country by how they are listed: on its own market, or abroad with that country of origin.
+
+    ``country`` is matched anywhere in the name, whatever its case. ``duplicates`` names, for a symbol, the other one of
+    the same company.
+    """
+    local = F.col("mercado") == market
+    abroad = (F.col("mercado") == "usa_otros") & F.col("pais_origen").ilike(f"%{country}%")
+    twin = F.lit(None).cast("string")
+    for symbol, other in (duplicates or {}).items():
+        twin = F.when(F.col("ticker_usd") == symbol, other).otherwise(twin)
+    return (
+        dim.filter((local & ~F.col("ticker_usd").isin(*excluded)) | abroad)
+        .withColumn("vehiculo", F.when(local, "BDR").otherwise("ADR directo"))
+        .withColumn("duplica_de", twin)
+    )
+
+
+def country_ranking(vehicles: DataFrame, styles: DataFrame, comps: DataFrame, clean: DataFrame, exposure: DataFrame) -> DataFrame:
+    """The companies of a country with checklist, sector discount, currency-clean return and exposures; best first."""
+    return (
+        styles.select("ticker_usd", "nombre_empresa", "lynch_categoria_auto", "lynch_checklist_score", "lynch_valuacion_peg")
+        .join(vehicles.select("ticker_usd", "vehiculo", "duplica_de"), "ticker_usd")
+        .join(comps.select("ticker_usd", "comp_pe_vs_sector_pct", "comp_percentil_crecimiento_en_sector"), "ticker_usd")
+        .join(clean.select("ticker_usd", "retorno_limpio_pct"), "ticker_usd", "left")
+        .join(exposure.drop("dias_muestra"), "ticker_usd")
+        .orderBy(F.col("lynch_checklist_score").desc(), F.col("comp_pe_vs_sector_pct").asc_nulls_last(), "ticker_usd")
+    )

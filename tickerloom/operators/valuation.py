@@ -104,7 +104,7 @@ def _plan(dim: DataFrame, prices: DataFrame, macro: DataFrame) -> DataFrame:
         .withColumn(
             "motivo",
             F.when(F.col("con_precio").isNull(), "Sin precios")
-            .when(balance.isNull() | quote.isNull(), "Sin moneda (la completa analisis_fundamental_liviano.py)")
+            .when(balance.isNull() | quote.isNull(), "Sin moneda")
             .when(
                 (balance != quote) & (quote != PRICE_CURRENCY_WITH_FX),
                 F.concat(F.lit("No calculable: precio en "), quote, F.lit(" y balance en "), balance, F.lit(": sin conversion")),

@@ -23,7 +23,7 @@ class EmptySelection(Exception):
 
 
 def refresh_quality(wh: Warehouse, as_of: dt.date) -> DataFrame:
-    with wh.logged("calidad_datos") as log:
+    with wh.logged("quality_marks") as log:
         marks = quality.data_quality(wh.read("fact_precios_daily"), wh.read("fact_metrics_daily"), wh.read("dim_empresa"), as_of)
         out = wh.publish("silver_calidad_datos", marks)
         log["filas_afectadas"] = out.count()
@@ -84,15 +84,15 @@ def follow_up(wh: Warehouse, as_of: dt.date) -> DataFrame:
     """Portfolio and watchlist as of a day; returns the alert rows of both."""
     prices, eps, dim = wh.read("fact_precios_daily"), wh.read("fact_eps_trimestral"), wh.read("dim_empresa")
     tech, mood, marks = (wh.published(n) for n in ("gold_technical", "gold_sentimiento", "silver_calidad_datos"))
-    with wh.logged("monitoreo_cartera") as log:
+    with wh.logged("follow_up") as log:
         held = wh.publish(
-            "monitoreo_cartera",
+            "portfolio_view",
             monitor.monitor_portfolio(
                 wh.read("fact_cartera_seleccionada"), prices, eps, dim, tech, mood, marks, wh.published("gold_refugio"), as_of
             ),
         )
         watched = wh.publish(
-            "monitoreo_seguimiento",
+            "watchlist_view",
             monitor.monitor_watchlist(wh.read("seguimiento"), prices, wh.read("fact_macro_daily"), eps, dim, tech, mood, marks, as_of),
         )
         alerts = alert_rows(held, "cartera").unionByName(alert_rows(watched, "seguimiento"))
