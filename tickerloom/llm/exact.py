@@ -42,7 +42,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adjacent entries of one key become one: the first (smallest) keep_id, the sum of the sizes. Holds one batch."""
     rest = None
     for batch in batches:
-        part = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        part = pa.table(batch.columns, names=batch.schema.names)
+        part = part if rest is None else pa.concat_tables([rest, part])
         part = part.combine_chunks()
         if not part.num_rows:
             continue
