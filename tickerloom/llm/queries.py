@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import exact
+from tickerloom.llm import exact, records, secrets
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -36,3 +36,13 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 )
 def op5_exact_dedup(spark, sf_dir):
     return exact.exact_groups(documents(spark, sf_dir))
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark, sf_dir):
+    return secrets.span_digest(secrets.secret_spans(documents(spark, sf_dir)))
+
+
+@query("op2_token_records")
+def op2_token_records(spark, sf_dir):
+    return records.token_records(documents(spark, sf_dir))
