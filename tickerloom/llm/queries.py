@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import exact, leaks, packing, records, secrets
+from tickerloom.llm import exact, leaks, licenses, packing, records, secrets
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -68,3 +68,8 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIG
 )
 def op9_benchmark_leaks(spark, sf_dir):
     return leaks.benchmark_hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark, sf_dir):
+    return licenses.license_scan(documents(spark, sf_dir))
