@@ -29,7 +29,7 @@ from tickerloom.llm.tokens import encoder, vocabulary
 VOCABULARY = "word_bpe_49k.json"
 BLOCK = 1 << 22
 MANIFEST = "shard int, path string, n_records long, n_tokens long, n_bytes long"
-RECORDS = "shard int, record long, doc_id long, before long, n_tokens long, ids_crc32 long"
+RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _HEAD = "<qBB"
 
 POLYNOMIAL = 0x82F63B78  # Castagnoli, bits reversed
@@ -184,12 +184,12 @@ def _sequence(item: bytes) -> tuple[int | None, np.ndarray]:
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("shard", pa.int32()), ("record", pa.int64()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in RECORDS.split(", ")])
     for batch in batches:
-        for shard, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows, before = [], 0
-            for r, doc_id, ids in read_file(path):
-                rows.append((shard, r, doc_id, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+        for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = []
+            for _, doc_id, ids in read_file(path):
+                rows.append((doc_id, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                 before += len(ids)
                 if len(rows) == 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
@@ -201,10 +201,9 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_records(manifest: DataFrame) -> DataFrame:
     """A row for each record, read back from the files: doc_id, start (ids of all records before it), n_tokens, ids_crc32."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    offsets = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))
-    files = manifest.select("shard", "path").repartition("path")
-    rows = files.mapInArrow(_reader, RECORDS)
-    return rows.join(offsets, "shard").select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    files = manifest.select("shard", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
+    files = files.repartitionByRange(max(1, manifest.count()), "shard").select("path", "start")  # a task for each file
+    return files.mapInArrow(_reader, RECORDS)
 
 
 def token_records(docs: DataFrame, vocabulary_file: str = VOCABULARY) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from tickerloom.llm.shared import ranges
 
 END_ID = 1
-REMEMBERED = 700_000  # pieces a Python worker holds at most
+REMEMBERED = 1_000_000  # pieces a Python worker holds at most
 
 
 def vocabulary(name: str) -> str:
@@ -41,6 +41,10 @@ class Encoder:
         # with a byte-level vocabulary a space belongs to the word behind it and a line end stands alone; else white space is dropped
         self.spaced = bool(self.whole([" a"])[0] != self.whole(["a"])[0])
         self.marks = {s: self.whole([s])[0] for s in ".,"}
+        # ids that begin a word with its space, or end one: they tell the words of a joined text apart
+        edge = (lambda t: t.startswith("Ġ")) if self.spaced else (lambda t: t.endswith("</w>"))
+        self.edges = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.edges[[i for t, i in self.tokenizer.get_vocab().items() if edge(t)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -79,11 +83,12 @@ class Encoder:
 
     def _pieces(self, text: str) -> list[str]:
         """The pieces and the end, or nothing if white space is not single spaces and line ends between words (or the text is empty)."""
+        text = text.lower() if text.isascii() and not self.spaced else text
         words = text.split()
         if not words or len(words) != text.count(" ") + text.count("\n") + 1:
             return []
         if not self.spaced:
-            pieces = (text.lower().split() if text.isascii() else words)
+            pieces = words
         elif "\n" in text:
             pieces = text.replace("\n", "\r\n\r").replace(" ", "\r ").split("\r")
         else:
@@ -95,11 +100,26 @@ class Encoder:
         """A piece that is a word and one stop or comma is the ids of both; the word alone is seen more often."""
         stops = [p for p in new if len(p) > 2 and p[-1] in ".," and p[-2].isalpha()]
         plain = list((new - set(stops) | {p[:-1] for p in stops}) - self.known.keys())
-        for a in range(0, len(plain), 20_000):
-            self._add(plain[a : a + 20_000], self.whole(plain[a : a + 20_000]))
+        joined = [p for p in plain if (p[1:] if self.spaced and p[0] == " " else "" if self.spaced else p).isalpha()]
+        apart = list(set(plain) - set(joined))
+        for a in range(0, len(joined), 20_000):
+            self._add_joined(joined[a : a + 20_000])
+        for a in range(0, len(apart), 20_000):
+            self._add(apart[a : a + 20_000], self.whole(apart[a : a + 20_000]))
         words = [self.known[p[:-1]] for p in stops]
         self._add(stops, [[*self.flat[a : a + n].tolist(), *self.marks[p[-1]]] for p, a, n in zip(stops, self.starts[words].tolist(), self.lengths[words].tolist())])
 
+    def _add_joined(self, words: list[str]) -> None:
+        """Words of letters alone, many in one text; each is one unit of the vocabulary's own split."""
+        between = "" if self.spaced else " "
+        ids = [i for e in self.whole([between.join(words[a : a + 64]) for a in range(0, len(words), 64)]) for i in e]
+        edges = np.flatnonzero(self.edges[ids])
+        if len(edges) != len(words):
+            self._add(words, self.whole(words))
+            return
+        cuts = [*edges.tolist(), len(ids)] if self.spaced else [0, *(edges + 1).tolist()]
+        self._add(words, [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])])
+
     def _add(self, pieces: list[str], ids: list[list[int]]) -> None:
         if not pieces:
             return
