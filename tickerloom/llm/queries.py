@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import exact, leaks, licenses, packing, records, secrets
+from tickerloom.llm import exact, language, leaks, licenses, packing, records, secrets
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -73,3 +73,8 @@ def op9_benchmark_leaks(spark, sf_dir):
 @query("op10_license_scan")
 def op10_license_scan(spark, sf_dir):
     return licenses.license_scan(documents(spark, sf_dir))
+
+
+@query("op6_language_id")
+def op6_language_id(spark, sf_dir):
+    return language.identify(documents(spark, sf_dir))
