@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import exact, language, leaks, licenses, packing, records, secrets
+from tickerloom.llm import exact, language, leaks, licenses, near, packing, records, secrets
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -78,3 +78,25 @@ def op10_license_scan(spark, sf_dir):
 @query("op6_language_id")
 def op6_language_id(spark, sf_dir):
     return language.identify(documents(spark, sf_dir))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    "op4_near_dedup",
+    rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, list_slice(w, i, i + 2) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT g, row_number() OVER () AS k FROM (SELECT g FROM s GROUP BY g HAVING count(*) > 1)),
+t AS (SELECT doc_id, k FROM s JOIN k USING (g)),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+f AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT r.d, f.b FROM r JOIN f ON r.m = f.a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN n USING (doc_id) JOIN (SELECT d AS doc_id, min(m) AS component_id FROM r GROUP BY d) USING (doc_id)""",
+)
+def op4_near_dedup(spark, sf_dir):
+    return near.near_groups(documents(spark, sf_dir), words=3, same_of_100=85)
