@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import exact, language, leaks, licenses, near, packing, records, secrets
+from tickerloom.llm import exact, language, leaks, licenses, near, packing, records, repeats, secrets
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -100,3 +100,8 @@ FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN n USING (doc_id) JOIN (
 )
 def op4_near_dedup(spark, sf_dir):
     return near.near_groups(documents(spark, sf_dir), words=3, same_of_100=85)
+
+
+@query("op1_repeated_bytes")
+def op1_repeated_bytes(spark, sf_dir):
+    return repeats.without_repeats(documents(spark, sf_dir))
