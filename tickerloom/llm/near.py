@@ -45,13 +45,11 @@ def bands_for(same_of_100: int, rows: int = ROWS) -> int:
 
 
 def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, 0x20000000367, np.uint64)]))
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _FACTOR, np.uint64)]))
 
 
-def shingle_sets(data: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of the k-word runs of each text, as one array, and where each text begins."""
-    n = len(starts) - 1
-    data = np.frombuffer(data.tobytes().translate(LOWER), np.uint8)
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of lower-cased texts in order, and how many words each text has."""
     inside = ~_BLANK[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -60,12 +58,19 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarr
     at = np.flatnonzero(begin)
     counts = np.diff(np.searchsorted(at, starts))
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        return np.zeros(0, np.uint64), counts
     ends = np.append(at[1:], len(data))
     place = np.arange(at[0], len(data)) - np.repeat(at, ends - at)
-    powers = _powers(int(place.max()) + 1)
-    value = np.where(inside[at[0] :], (data[at[0] :].astype(np.uint64) + np.uint64(1)) * powers[place], np.uint64(0))
-    words = mixed(np.add.reduceat(value, at - at[0]))
+    value = np.where(inside[at[0] :], (data[at[0] :].astype(np.uint64) + np.uint64(1)) * _powers(int(place.max()) + 1)[place], np.uint64(0))
+    return mixed(np.add.reduceat(value, at - at[0])), counts
+
+
+def shingle_sets(data: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the k-word runs of each text, as one array, and where each text begins."""
+    n = len(starts) - 1
+    words, counts = word_hashes(np.frombuffer(data.tobytes().translate(LOWER), np.uint8), starts)
+    if not len(words):
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     m = np.where(counts > 0, np.maximum(counts - k + 1, 1), 0)
     first = np.repeat(np.cumsum(counts) - counts, m) + ranges(m)
     own, run = np.repeat(np.minimum(counts, k), m), np.zeros(int(m.sum()), np.uint64)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import exact, language, leaks, licenses, near, packing, records, repeats, secrets
+from tickerloom.llm import exact, language, leaks, licenses, mixing, near, packing, records, repeats, secrets
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -105,3 +105,8 @@ def op4_near_dedup(spark, sf_dir):
 @query("op1_repeated_bytes")
 def op1_repeated_bytes(spark, sf_dir):
     return repeats.without_repeats(documents(spark, sf_dir))
+
+
+@query("op7_lm_score")
+def op7_lm_score(spark, sf_dir):
+    return mixing.score(documents(spark, sf_dir))
