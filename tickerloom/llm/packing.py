@@ -124,12 +124,19 @@ def places(plan: list[Phase], j: int, first: int, n: int, size: int) -> Iterator
             continue
         behind = len(p.top).bit_length()  # ids that rounding can put a queue ahead of its share
         window = (p.begin + max(0, a - behind) * p.top[-1] // (p.top[j + 1] - p.top[j])) // size
-        while a < b:
-            window = _first(window, lambda w: p.given(j, min(p.length, (w + 1) * size - p.begin)) > a)
-            t, end = max(0, window * size - p.begin), min(p.length, (window + 1) * size - p.begin)
-            (below, own), (below_end, own_end) = p.dealt(j, t), p.dealt(j, end)
-            yield window, max(0, p.begin - window * size) + below_end - below + a - own, p.served[j] + a, min(b, own_end) - a
-            a = min(b, own_end)
+        window = _first(window, lambda w: p.given(j, min(p.length, (w + 1) * size - p.begin)) > a)
+        below, own = p.dealt(j, max(0, window * size - p.begin))
+        while True:
+            below_end, own_end = p.dealt(j, min(p.length, (window + 1) * size - p.begin))
+            if own_end > a:
+                yield window, max(0, p.begin - window * size) + below_end - below + a - own, p.served[j] + a, min(b, own_end) - a
+                a = own_end
+                if a >= b:
+                    break
+                below, own, window = below_end, own_end, window + 1
+            else:  # a queue with a small share has windows without it
+                window = _first(window + 1, lambda w: p.given(j, min(p.length, (w + 1) * size - p.begin)) > a)
+                below, own = p.dealt(j, window * size - p.begin)
 
 
 def padding(length: int, size: int) -> int:

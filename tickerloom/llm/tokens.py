@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -50,7 +51,7 @@ class Encoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.starts, self.lengths, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
-        self._add(["\r"], [[END_ID]])  # stands for the end of a text
+        self._add(["\r"], np.array([END_ID], np.uint32), np.ones(1, np.int64))  # stands for the end of a text
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -61,13 +62,15 @@ class Encoder:
         odd = [i for i, pieces in enumerate(cut) if not pieces]
         every = [p for pieces in cut for p in (pieces or ("\r",))]
         where = list(map(self.known.get, every))
-        if None in where:
-            new = {p for p, w in zip(every, where) if w is None}
+        missing = [i for i, w in enumerate(where) if w is None] if None in where else []
+        if missing:
+            new = {every[i] for i in missing}
             if len(self.known) + len(new) > REMEMBERED:
                 self._forget()
-                new = set(every) - {"\r"}
+                new, missing = set(every) - {"\r"}, range(len(every))
             self._learn(new)
-            where = list(map(self.known.__getitem__, every))
+            for i in missing:
+                where[i] = self.known[every[i]]
         where = np.array(where, np.int64)
         n_ids = self.lengths[where]
         ids = self.flat[np.repeat(self.starts[where], n_ids) + ranges(n_ids)]
@@ -85,7 +88,8 @@ class Encoder:
         """The pieces and the end, or nothing if white space is not single spaces and line ends between words (or the text is empty)."""
         text = text.lower() if text.isascii() and not self.spaced else text
         words = text.split()
-        if not words or len(words) != text.count(" ") + text.count("\n") + 1:
+        gaps = len(words) - 1
+        if not words or sum(map(len, words)) + gaps != len(text) or text.count(" ") + text.count("\n") != gaps:
             return []
         if not self.spaced:
             pieces = words
@@ -98,37 +102,49 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """A piece that is a word and one stop or comma is the ids of both; the word alone is seen more often."""
-        stops = [p for p in new if len(p) > 2 and p[-1] in ".," and p[-2].isalpha()]
-        plain = list((new - set(stops) | {p[:-1] for p in stops}) - self.known.keys())
+        stops = [p for p in new if p[-1] in ".," and len(p) > 2 and p[-2].isalpha()]
+        plain = list({p[:-1] for p in stops}.union(new.difference(stops)).difference(self.known))
         joined = [p for p in plain if (p[1:] if self.spaced and p[0] == " " else "" if self.spaced else p).isalpha()]
-        apart = list(set(plain) - set(joined))
-        for a in range(0, len(joined), 20_000):
-            self._add_joined(joined[a : a + 20_000])
-        for a in range(0, len(apart), 20_000):
-            self._add(apart[a : a + 20_000], self.whole(apart[a : a + 20_000]))
-        words = [self.known[p[:-1]] for p in stops]
-        self._add(stops, [[*self.flat[a : a + n].tolist(), *self.marks[p[-1]]] for p, a, n in zip(stops, self.starts[words].tolist(), self.lengths[words].tolist())])
+        apart = list(set(plain).difference(joined)) if len(joined) < len(plain) else []
+        for a in range(0, len(joined), 50_000):
+            self._add_joined(joined[a : a + 50_000])
+        for a in range(0, len(apart), 50_000):
+            self._add_each(apart[a : a + 50_000])
+        if stops:
+            words = np.array([self.known[p[:-1]] for p in stops], np.int64)
+            lengths = self.lengths[words] + 1
+            ends = np.cumsum(lengths)
+            ids = np.zeros(int(ends[-1]), np.uint32)
+            inside = np.ones(len(ids), bool)
+            inside[ends - 1] = False
+            ids[inside] = self.flat[np.repeat(self.starts[words], lengths - 1) + ranges(lengths - 1)]
+            dots = np.array([p[-1] == "." for p in stops])
+            for mark, here in ((".", dots), (",", ~dots)):
+                ids[ends[here] - 1] = self.marks[mark][0]
+            self._add(stops, ids, lengths)
 
     def _add_joined(self, words: list[str]) -> None:
         """Words of letters alone, many in one text; each is one unit of the vocabulary's own split."""
         between = "" if self.spaced else " "
-        ids = [i for e in self.whole([between.join(words[a : a + 64]) for a in range(0, len(words), 64)]) for i in e]
+        parts = self.whole([between.join(words[a : a + 64]) for a in range(0, len(words), 64)])
+        ids = np.fromiter(chain.from_iterable(parts), np.uint32)
         edges = np.flatnonzero(self.edges[ids])
         if len(edges) != len(words):
-            self._add(words, self.whole(words))
-            return
-        cuts = [*edges.tolist(), len(ids)] if self.spaced else [0, *(edges + 1).tolist()]
-        self._add(words, [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])])
-
-    def _add(self, pieces: list[str], ids: list[list[int]]) -> None:
-        if not pieces:
-            return
-        n, lengths = len(self.known), np.array([len(i) for i in ids], np.int64)
+            self._add_each(words)
+        else:
+            self._add(words, ids, np.diff(edges, append=len(ids)) if self.spaced else np.diff(edges, prepend=-1))
+
+    def _add_each(self, pieces: list[str]) -> None:
+        ids = self.whole(pieces)
+        self._add(pieces, np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(i) for i in ids], np.int64))
+
+    def _add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.known)
         while n + len(pieces) > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.used + lengths.sum() > len(self.flat):
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.starts[n : n + len(pieces)], self.lengths[n : n + len(pieces)] = self.used + np.cumsum(lengths) - lengths, lengths
-        self.flat[self.used : self.used + lengths.sum()] = np.fromiter((x for i in ids for x in i), np.uint32, lengths.sum())
-        self.used += int(lengths.sum())
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
         self.known.update(zip(pieces, range(n, n + len(pieces))))
