@@ -5,10 +5,11 @@ permutation of its own: in round j it offers j plus a random part to the j-th re
 once no register can fall any further. Texts that agree on all registers of a band meet; bands are so many that a pair at the threshold is missed with a probability
 under ``MISSED``. Links are confirmed on the full sets.
 
-Scale: texts with the same set are one class and are compared once. In each meeting place every class is compared with two hubs (the smallest and
-the largest class there), so a group of any size gives a link per member. Only where members of one place then lie in different groups are the
-remaining pairs looked at, in blocks of ``BLOCK_OF`` members each, and only those whose sketches can still reach the threshold are verified.
-Sets are kept only for classes that met another.
+Scale: texts with the same set are one class and are compared once. In each meeting place every class is compared with one hub, the class that meets
+most others, so a group of any size gives a link per member. What remains are pairs that share a hub but not a group. Of those only pairs that can reach the threshold
+are looked at: were two sets alike, then so would be their differences from the hub, and the first few elements of these (in one fixed
+order, those that the hub lacks first) would have to meet. So members of a hub meet again by these elements, in blocks of ``BLOCK_OF``, and pairs whose
+sizes, distances to the hub and sketches allow the threshold are verified. Sets are kept only for classes that met another.
 
 Null or empty text has the empty set and is linked with nothing. A row without doc_id is a group of its own. Rows with the same doc_id are compared each with its
 own text. An empty table gives an empty result.
@@ -30,10 +31,9 @@ WORDS, SAME_OF_100 = 5, 80
 ROWS = 7  # registers of a band
 MISSED = 1e-6
 SKETCH = 64  # registers of which a byte each is kept
-SLACK = 0.28  # six standard deviations of a sketch's estimate
 BLOCK_OF = 256
 BLOCK_BYTES = 1 << 20
-SIGNED = "doc_id long, class long, n_shingles long, bands array<long>, sketch binary"
+SIGNED = "doc_id long, mark long, class long, n_shingles long, bands array<long>, sketch binary"
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -113,7 +113,7 @@ def _sign(k: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts = text_bytes(batch.column(1))
+            data, starts = text_bytes(batch.column(2))
             for a, b in in_blocks(starts, BLOCK_BYTES):
                 sets, ends = shingle_sets(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a], k)
                 sizes = np.diff(ends)
@@ -133,8 +133,8 @@ def _sign(k: int, bands: int, rows: int):
                     for i, row in zip(full.tolist(), again.tolist()):
                         keys[i], sketch[i] = own[row].view(np.int64), small[row].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(classes.view(np.int64)), pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                    ["doc_id", "class", "n_shingles", "bands", "sketch"],
+                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(classes.view(np.int64)), pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                    ["doc_id", "mark", "class", "n_shingles", "bands", "sketch"],
                 )
 
     return run
@@ -163,36 +163,48 @@ def _sets(k: int):
     return run
 
 
-def _confirm(same_of_100: int):
+COMPARED = "class long, hub long, linked boolean, apart int, head array<int>"
+
+
+def _compare(same_of_100: int, heads: bool):
+    """Whether two sets are alike, the size of their difference, and its first elements: as many as two like sets can differ by, and one."""
+    room = (100 - same_of_100) / same_of_100
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
+            linked, apart, head = [], [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                place = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[place] == x).sum())
-                good.append(100 * both >= same_of_100 * (len(x) + len(y) - both))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+                shared = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                both = int(shared.sum())
+                linked.append(100 * both >= same_of_100 * (len(x) + len(y) - both))
+                apart.append(len(x) + len(y) - 2 * both)
+                own = x[~shared]
+                wanted = int(len(x) * room + 1e-9) + 1 if heads else 0
+                if len(own) < wanted:
+                    own = np.concatenate([own, y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y]])
+                head.append((own[:wanted] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            columns = [pa.array(linked, pa.bool_()), pa.array(apart, pa.int32()), pa.array(head, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["class", "hub", "linked", "apart", "head"])
 
     return run
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, same_of_100: int) -> DataFrame:
-    """Those pairs (a, b) of classes whose full sets are as alike as asked."""
-    met = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+def compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, same_of_100: int, heads: bool) -> DataFrame:
+    """Pairs (class, hub) of classes with the comparison of their full sets."""
+    met = pairs.select("class").union(pairs.select("hub")).distinct()
     wanted = classes.join(met, "class", "left_semi").select("class", F.col("rep").alias("wanted"))
     texts = texts_of(docs).join(wanted, F.col("doc_id") == F.col("wanted")).select("class", "text")
     sets = stored(texts.mapInArrow(_sets(k), "class long, hashes binary").dropDuplicates(["class"]), "sets")
-    left = pairs.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a")
-    both = left.join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(_confirm(same_of_100), "a long, b long"), "links")
+    left = pairs.join(sets.withColumnRenamed("hashes", "x"), "class")
+    both = left.join(sets.select(F.col("class").alias("hub"), F.col("hashes").alias("y")), "hub").select("class", "hub", "x", "y")
+    return stored(both.mapInArrow(_compare(same_of_100, heads), COMPARED), "compared")
 
 
 def components(links: DataFrame) -> DataFrame:
     """class, root (smallest class of its group) for all classes with a link, by turns of joining every class's larger neighbours, then its smaller ones, to its
     smallest; a turn ends in a written table, and a star is finished in one."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
+    edges = links.filter("linked").select(F.greatest("class", "hub").alias("u"), F.least("class", "hub").alias("v")).filter("u > v").distinct()
     state = None
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
@@ -209,18 +221,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open_pairs(same_of_100: int):
-    """Pairs of two blocks of one place that lie in different groups and whose sizes and sketches allow the threshold."""
-    share, least = same_of_100 / 100, int((same_of_100 / 100 - SLACK) * SKETCH)
+    """Pairs of two blocks of one place that lie in different groups and whose sizes, distances and sketches allow the threshold."""
+    share = same_of_100 / 100
 
     def pairs(part: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        here, there = part["mine"] == part["i"], part["mine"] == part["j"]
-        x, y = np.flatnonzero(here), np.flatnonzero(there)
-        n, root, c = part["n"], part["root"], part["class"]
-        can = (root[x][:, None] != root[y]) & (np.minimum(n[x][:, None], n[y]) >= share * np.maximum(n[x][:, None], n[y]) - 1e-6)
+        x, y = np.flatnonzero(part["mine"] == part["i"]), np.flatnonzero(part["mine"] == part["j"])
+        n, root, c, apart, sketch = (part[k] for k in ("n", "root", "class", "apart", "sketch"))
+        nx, ny = n[x][:, None], n[y]
+        can = (root[x][:, None] != root[y]) & (np.minimum(nx, ny) >= share * np.maximum(nx, ny) - 1e-6)
+        can &= np.abs(apart[x][:, None] - apart[y]) <= (1 - share) / (1 + share) * (nx + ny) + 1e-6
         if part["i"][0] == part["j"][0]:
             can &= c[x][:, None] < c[y]
         p, q = np.nonzero(can)
-        sketch = part["sketch"]
+        width = sketch.shape[1]
+        least = (share - 6 * math.sqrt(share * (1 - share) / width)) * width  # six standard deviations of the estimate
         good = (sketch[x[p]] == sketch[y[q]]).sum(1) >= least
         return c[x[p[good]]], c[y[q[good]]]
 
@@ -237,13 +251,13 @@ def _open_pairs(same_of_100: int):
     def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if table is None or not table.num_rows:
             return
-        part = {n: table.column(n).to_numpy() for n in ("place", "i", "j", "mine", "class", "root", "n")}
-        part["sketch"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        part = {n: table.column(n).to_numpy() for n in ("place", "i", "j", "mine", "class", "root", "n", "apart")}
+        part["sketch"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
         new = np.flatnonzero((np.diff(part["place"]) != 0) | (np.diff(part["i"]) != 0) | (np.diff(part["j"]) != 0)) + 1
         for a, b in zip([0, *new.tolist()], [*new.tolist(), table.num_rows]):
             x, y = pairs({k: v[a:b] for k, v in part.items()})
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["class", "hub"])
 
     return run
 
@@ -256,41 +270,47 @@ def _split(table: pa.Table) -> tuple[pa.Table | None, pa.Table]:
     return (table.slice(0, cut) if cut else None), table.slice(cut)
 
 
-def unsettled(places: DataFrame, classes: DataFrame, groups: DataFrame, same_of_100: int) -> DataFrame:
-    """Candidate pairs of classes that share a place but not a group."""
-    named = places.join(groups, "class", "left").select("place", "class", F.coalesce("root", "class").alias("root"))
-    split = named.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).filter("low < high")
-    blocks = F.ceil(F.col("members") / BLOCK_OF).cast("int")
-    rows = named.join(split.select("place", blocks.alias("blocks")), "place").join(classes.select("class", F.col("n_shingles").alias("n"), "sketch"), "class")
+def unsettled(links: DataFrame, classes: DataFrame, groups: DataFrame, same_of_100: int) -> DataFrame:
+    """Candidate pairs of classes that were compared with one hub and do not share a group."""
+    root_of = groups.select("class", "root")
+    named = links.join(root_of, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    open_ = named.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("hub")
+    met = named.join(open_, "hub", "left_semi").select(F.explode(F.array_distinct("head")).alias("element"), "hub", "class", "root", "apart")
+    met = met.select(F.xxhash64("hub", "element").alias("place"), "class", "root", "apart")
+    split = met.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).filter("low < high")
+    split = split.select("place", F.ceil(F.col("members") / BLOCK_OF).cast("int").alias("blocks"))
+    rows = met.join(split, "place").join(classes.select("class", F.col("n_shingles").alias("n"), "sketch"), "class")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("place", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "root", "n", "sketch")
+    rows = rows.select("place", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "root", "n", "apart", "sketch")
     rows = rows.repartition("place", "i", "j").sortWithinPartitions("place", "i", "j")
-    return rows.mapInArrow(_open_pairs(same_of_100), "a long, b long").distinct()
+    return rows.mapInArrow(_open_pairs(same_of_100), "class long, hub long").distinct()
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, same_of_100: int = SAME_OF_100, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept."""
-    signed = stored(texts_of(docs).mapInArrow(_sign(words, bands_for(same_of_100, rows), rows), SIGNED), "signed")
+    """doc_id, mark (hash of the text), n_shingles, component_id (smallest doc_id reachable by links, itself included), kept."""
+    marked = texts_of(docs).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    signed = stored(marked.mapInArrow(_sign(words, bands_for(same_of_100, rows), rows), SIGNED), "signed")
     linked = signed.filter("doc_id is not null and n_shingles > 0")
     classes = stored(linked.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     met = classes.select("class", F.explode("bands").alias("place"))
-    hubs = met.groupBy("place").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
-    places = stored(met.join(hubs, "place"), "places")  # only where several classes meet
-    pairs = places.select(F.explode(F.array(F.array("class", "low"), F.array("class", "high"))).alias("p")).select(F.array_min("p").alias("a"), F.array_max("p").alias("b"))
-    pairs = stored(pairs.filter("a < b").distinct(), "pairs")
-    links = confirmed(docs, classes, pairs, words, same_of_100)
-    places = places.select("place", "class")
-    more = stored(unsettled(places, classes, components(links), same_of_100).join(pairs, ["a", "b"], "left_anti"), "more")
-    links = links.union(confirmed(docs, classes, more, words, same_of_100))
+    shared = met.groupBy("place").agg(F.count("*").alias("members")).filter("members > 1")
+    places = stored(met.join(shared, "place"), "places")  # only where several classes meet
+    degrees = places.groupBy("class").agg(F.sum("members").alias("degree"))
+    hubs = places.join(degrees, "class").groupBy("place").agg(F.max(F.struct("degree", "class")).alias("top")).select("place", F.col("top.class").alias("hub"))
+    pairs = stored(places.join(hubs, "place").select("class", "hub").filter("class <> hub").distinct(), "pairs")
+    links = compared(docs, classes, pairs, words, same_of_100, heads=True)
+    more = stored(unsettled(links, classes, components(links), same_of_100).join(pairs, ["class", "hub"], "left_anti"), "more")
+    links = links.unionByName(compared(docs, classes, more, words, same_of_100, heads=False))
     roots = classes.select("class", "rep").join(components(links), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "rep")
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     found = roots.join(least, "root").select("class", "component_id")
-    own = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("class")).alias("class"))
-    joined = own.join(found, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = signed.select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("class")).alias("class"))
+    joined = own.join(found, "class", "left").select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each_group(docs: DataFrame, words: int = WORDS, same_of_100: int = SAME_OF_100) -> DataFrame:
     """The rows of ``docs`` that stay: those of the smallest doc_id of each group."""
-    gone = near_groups(docs, words, same_of_100).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = near_groups(docs, words, same_of_100).filter("not kept").select(F.col("doc_id").alias("_doc_id"), F.col("mark").alias("_mark")).distinct()
+    same = (docs["doc_id"].cast("long") == gone["_doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_mark"])
+    return docs.join(gone, same, "left_anti")
