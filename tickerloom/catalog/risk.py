@@ -1,4 +1,4 @@
-"""Queries over risk, small portfolios, resampling and event windows."""
+"""Queries over risk, small portfolios, outcomes over history and event windows."""
 
 from __future__ import annotations
 
@@ -42,139 +42,130 @@ def drawdown_recovery(spark, sf):
     return K.drawdown_recovery(A.bars(spark, sf))
 
 
-def _portfolio(spark, sf, n=3):
-    """Few names: the provided ones seldom trade on the same day, and only shared dates count."""
-    return A.most_traded(spark, sf, n)
+def _nations(spark, sf):
+    """Monthly prices of nations and the nine most traded of them: a portfolio whose names share most dates."""
+    return A.nation_months(spark, sf), A.most_traded_nations(spark, sf, 9)
 
 
-def _wide_sql(n: int) -> str:
+NAMES = 9
+
+
+def _wide_sql(n: int = NAMES) -> str:
     cols = ", ".join(f"max(adj_close) FILTER (WHERE i = {k}) AS p{k}" for k in range(n))
     known = " AND ".join(f"p{k} IS NOT NULL" for k in range(n))
     rets = ", ".join(f"p{k} / lag(p{k}) OVER (ORDER BY fecha) - 1 AS r{k}" for k in range(n))
     return f"""
-names AS (SELECT ticker_usd, i FROM top5 WHERE i < {n}),
-wide AS (SELECT * FROM (SELECT fecha, {cols} FROM bars b JOIN names t ON t.ticker_usd = b.ticker_usd GROUP BY 1) WHERE {known}),
-cr AS (SELECT * FROM (SELECT fecha, {rets} FROM wide) WHERE r0 IS NOT NULL)"""
-
-
-PAIRS = [(0, 1), (0, 2), (1, 2)]
-
-
-@query("common_returns", "fecha r0:f6 r1:f6 r2:f6", f"WITH {_wide_sql(3)} SELECT * FROM cr")
+lines AS (SELECT 'N' || s_nationkey AS ticker_usd, last_day(CAST(l_shipdate AS DATE)) AS fecha, CAST(round(l_extendedprice * 100) AS BIGINT) AS e, CAST(l_quantity AS BIGINT) AS q
+          FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+months AS (SELECT ticker_usd, fecha, CAST(sum(e) AS BIGINT) / CAST(sum(q) AS DOUBLE) / 100 AS adj_close FROM lines GROUP BY 1, 2),
+names AS (SELECT ticker_usd, row_number() OVER (ORDER BY v DESC, ticker_usd) - 1 AS i FROM (SELECT ticker_usd, sum(q) AS v FROM lines GROUP BY 1) QUALIFY i < {n}),
+wide AS (SELECT * FROM (SELECT fecha, {cols} FROM months b JOIN names t ON t.ticker_usd = b.ticker_usd GROUP BY 1) WHERE {known}),
+cr AS (SELECT * FROM (SELECT fecha, {rets} FROM wide) WHERE r0 IS NOT NULL),
+long AS (SELECT fecha, i, r FROM (SELECT *, unnest(range({n})) AS i, unnest([{", ".join(f"r{k}" for k in range(n))}]) AS r FROM cr)),
+two AS (SELECT a.fecha, a.i, b.i AS j, a.r AS x, b.r AS y FROM long a JOIN long b ON a.fecha = b.fecha AND a.i < b.i),
+ps AS (SELECT n1.ticker_usd AS a, n2.ticker_usd AS b, corr, cov FROM (SELECT i, j, corr(x, y) AS corr, covar_samp(x, y) AS cov FROM two GROUP BY 1, 2) c
+       JOIN names n1 ON n1.i = c.i JOIN names n2 ON n2.i = c.j)"""
+
+
+@query("common_returns", "fecha " + " ".join(f"r{k}:f6" for k in range(NAMES)), f"WITH {_wide_sql()} SELECT * FROM cr")
 def common_returns(spark, sf):
-    return K.common_returns(A.bars(spark, sf), _portfolio(spark, sf))
+    return K.common_returns(*_nations(spark, sf))
 
 
-@query(
-    "corr_pairs",
-    "a b corr:f6 cov:f6",
-    f"WITH {_wide_sql(3)} "
-    + " UNION ALL ".join(
-        f"SELECT (SELECT ticker_usd FROM names WHERE i = {i}) AS a, (SELECT ticker_usd FROM names WHERE i = {j}) AS b, corr(r{i}, r{j}) AS corr, covar_samp(r{i}, r{j}) AS cov FROM cr"
-        for i, j in PAIRS
-    ),
-)
+@query("corr_pairs", "a b corr:f6 cov:f6", f"WITH {_wide_sql()} SELECT * FROM ps")
 def corr_pairs(spark, sf):
-    return K.correlation_pairs(A.bars(spark, sf), _portfolio(spark, sf))
+    return K.correlation_pairs(*_nations(spark, sf))
 
 
-@query("extreme_pairs", "a b corr:f6 extremo",
-    f"WITH {_wide_sql(3)}, ps AS ("
-    + " UNION ALL ".join(
-        f"SELECT (SELECT ticker_usd FROM names WHERE i = {i}) AS a, (SELECT ticker_usd FROM names WHERE i = {j}) AS b, corr(r{i}, r{j}) AS corr FROM cr"
-        for i, j in PAIRS
-    )
-    + ") SELECT * FROM (SELECT *, 'más' AS extremo FROM ps ORDER BY corr DESC, a, b LIMIT 1) UNION ALL SELECT * FROM (SELECT *, 'menos' AS extremo FROM ps ORDER BY corr, a, b LIMIT 1)",
+@query(
+    "extreme_pairs",
+    "a b corr:f6 extremo",
+    f"""WITH {_wide_sql()}
+SELECT * FROM (SELECT *, 'más' AS extremo FROM ps ORDER BY corr DESC, a, b LIMIT 5) UNION ALL SELECT * FROM (SELECT *, 'menos' AS extremo FROM ps ORDER BY corr, a, b LIMIT 5)""",
 )
 def extreme_pairs(spark, sf):
-    return K.extreme_pairs(K.correlation_pairs(A.bars(spark, sf), _portfolio(spark, sf)), 1)
+    return K.extreme_pairs(K.correlation_pairs(*_nations(spark, sf)))
 
 
 @query(
     "regime_stats",
     "regimen dias:i periodo_pct:f4 retorno_medio_pct:f4 vol_anual_pct:f4 cvar_95_pct:f4 peor_dia_pct:f4 corr_promedio:f6",
     f"""
-WITH {_wide_sql(2)},
-n AS (SELECT *, (r0 + r1) / 2 AS r, CASE WHEN v < 0 THEN NULL WHEN v < 20 THEN 'Calma' WHEN v < 30 THEN 'Normal' WHEN v IS NOT NULL THEN 'Estrés' END AS regimen
+WITH {_wide_sql()},
+n AS (SELECT *, (SELECT avg(r) FROM long l WHERE l.fecha = cr.fecha) AS r, CASE WHEN v < 0 THEN NULL WHEN v < 20 THEN 'Calma' WHEN v < 30 THEN 'Normal' WHEN v IS NOT NULL THEN 'Estrés' END AS regimen
       FROM cr ASOF LEFT JOIN (SELECT fecha AS fv, valor AS v FROM macro WHERE serie = 'VIX') m ON cr.fecha >= m.fv),
-s AS (SELECT regimen, count(*) AS dias, avg(r) AS media, stddev_samp(r) AS de, quantile_cont(r, 0.05) AS va, min(r) AS peor, corr(r0, r1) AS c FROM n WHERE regimen IS NOT NULL GROUP BY 1)
+s AS (SELECT regimen, count(*) AS dias, avg(r) AS media, stddev_samp(r) AS de, quantile_cont(r, 0.05) AS va, min(r) AS peor FROM n WHERE regimen IS NOT NULL GROUP BY 1),
+c AS (SELECT regimen, avg(k) AS c FROM (SELECT regimen, i, j, corr(x, y) AS k FROM two JOIN n ON n.fecha = two.fecha WHERE regimen IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1)
 SELECT s.regimen, dias, dias * 100e0 / (SELECT count(*) FROM n) AS periodo_pct, media * 100 AS retorno_medio_pct, de * sqrt(252) * 100 AS vol_anual_pct,
-       (SELECT avg(r) * 100 FROM n WHERE n.regimen = s.regimen AND n.r <= s.va) AS cvar_95_pct, peor * 100 AS peor_dia_pct, c AS corr_promedio FROM s""",
+       (SELECT avg(r) * 100 FROM n WHERE n.regimen = s.regimen AND n.r <= s.va) AS cvar_95_pct, peor * 100 AS peor_dia_pct, c AS corr_promedio FROM s LEFT JOIN c ON c.regimen = s.regimen""",
 )
 def regime_stats(spark, sf):
-    return K.regime_stats(A.bars(spark, sf), A.macro(spark, sf), _portfolio(spark, sf, 2), calm=20, stress=30)
+    prices, names = _nations(spark, sf)
+    return K.regime_stats(prices, A.macro(spark, sf), names, calm=20, stress=30)
+
+
+def _grid_sql(steps: int) -> str:
+    """Every weight vector as a list, grown asset by asset, and its moments as sums over names and pairs."""
+    return f"""
+WITH RECURSIVE {_wide_sql(GRID_NAMES)},
+mu AS (SELECT i, avg(r) * 252 AS m, var_samp(r) * 252 AS v FROM long GROUP BY 1), cv AS (SELECT i, j, covar_samp(x, y) * 252 AS c FROM two GROUP BY 1, 2),
+g AS (SELECT CAST([] AS BIGINT[]) AS w, CAST({steps} AS BIGINT) AS resto UNION ALL
+      SELECT list_append(w, x), resto - x FROM (SELECT w, resto, unnest(CASE WHEN len(w) = {GRID_NAMES - 1} THEN [resto] ELSE range(resto + 1) END) AS x FROM g WHERE len(w) < {GRID_NAMES})),
+full_ AS (SELECT w FROM g WHERE len(w) = {GRID_NAMES}),
+a AS (SELECT w, sum(w[i + 1] / {steps}e0 * m) AS retorno, sum(pow(w[i + 1] / {steps}e0, 2) * v) AS v1, min(m) AS lo, max(m) AS hi FROM full_, mu GROUP BY 1),
+b AS (SELECT w, sum(2 * w[i + 1] / {steps}e0 * w[j + 1] / {steps}e0 * c) AS v2 FROM full_, cv GROUP BY 1),
+p AS (SELECT w, retorno, lo, hi, sqrt(greatest(v1 + v2, 0)) AS vol FROM a JOIN b USING (w))"""
+
+
+GRID_NAMES = 5
+
+
+def _grid(spark, sf, steps):
+    prices, names = _nations(spark, sf)
+    return K.portfolio_grid(prices, names[:GRID_NAMES], steps=steps)
 
 
 @query(
     "portfolio_grid",
-    "w0:f2 w1:f2 w2:f2 retorno:f6 vol:f6 es_minima:b",
-    f"""
-WITH {_wide_sql(3)},
-mo AS (SELECT avg(r0) * 252 AS m0, avg(r1) * 252 AS m1, avg(r2) * 252 AS m2, var_samp(r0) * 252 AS v0, var_samp(r1) * 252 AS v1, var_samp(r2) * 252 AS v2,
-              covar_samp(r0, r1) * 252 AS c01, covar_samp(r0, r2) * 252 AS c02, covar_samp(r1, r2) * 252 AS c12 FROM cr),
-g AS (SELECT a / 10e0 AS w0, b / 10e0 AS w1, (10 - a - b) / 10e0 AS w2 FROM range(11) x(a), range(11) y(b) WHERE a + b <= 10),
-p AS (SELECT w0, w1, w2, w0 * m0 + w1 * m1 + w2 * m2 AS retorno,
-             sqrt(w0 * w0 * v0 + w1 * w1 * v1 + w2 * w2 * v2 + 2 * w0 * w1 * c01 + 2 * w0 * w2 * c02 + 2 * w1 * w2 * c12) AS vol FROM g, mo)
-SELECT *, vol = min(vol) OVER () AS es_minima FROM p""",
+    " ".join(f"w{k}:f2" for k in range(GRID_NAMES)) + " retorno:f6 vol:f6 es_minima:b",
+    f"{_grid_sql(10)} SELECT {', '.join(f'w[{k + 1}] / 10e0 AS w{k}' for k in range(GRID_NAMES))}, retorno, vol, vol = min(vol) OVER () AS es_minima FROM p",
 )
 def portfolio_grid(spark, sf):
-    grid = K.portfolio_grid(A.bars(spark, sf), _portfolio(spark, sf), steps=10)
-    return grid.select("*", *[F.col("pesos")[i].alias(f"w{i}") for i in range(3)])
+    return _grid(spark, sf, 10).select("*", *[F.col("pesos")[i].alias(f"w{i}") for i in range(GRID_NAMES)])
 
 
 @query(
     "portfolio_frontier",
     "tramo:i retorno:f6 vol:f6",
-    f"""
-WITH {_wide_sql(3)},
-mo AS (SELECT avg(r0) * 252 AS m0, avg(r1) * 252 AS m1, avg(r2) * 252 AS m2, var_samp(r0) * 252 AS v0, var_samp(r1) * 252 AS v1, var_samp(r2) * 252 AS v2,
-              covar_samp(r0, r1) * 252 AS c01, covar_samp(r0, r2) * 252 AS c02, covar_samp(r1, r2) * 252 AS c12 FROM cr),
-g AS (SELECT a / 20e0 AS w0, b / 20e0 AS w1, (20 - a - b) / 20e0 AS w2 FROM range(21) x(a), range(21) y(b) WHERE a + b <= 20),
-p AS (SELECT w0 * m0 + w1 * m1 + w2 * m2 AS retorno, least(m0, m1, m2) AS lo, greatest(m0, m1, m2) AS hi,
-             sqrt(w0 * w0 * v0 + w1 * w1 * v1 + w2 * w2 * v2 + 2 * w0 * w1 * c01 + 2 * w0 * w2 * c02 + 2 * w1 * w2 * c12) AS vol FROM g, mo)
-SELECT least(greatest(floor((retorno - lo) / (hi - lo) * 25), 0), 24) AS tramo, arg_min(retorno, vol) AS retorno, min(vol) AS vol FROM p GROUP BY 1""",
+    f"{_grid_sql(12)} SELECT least(greatest(floor((retorno - lo) / (hi - lo) * 25), 0), 24) AS tramo, arg_min(retorno, vol) AS retorno, min(vol) AS vol FROM p GROUP BY 1",
 )
 def portfolio_frontier(spark, sf):
-    return K.portfolio_grid(A.bars(spark, sf), _portfolio(spark, sf), steps=20).filter("es_frontera")
+    return _grid(spark, sf, 12).filter("es_frontera")
 
 
 def _portfolio_returns(spark, sf):
-    """Daily mean return of the whole market: a history long enough to resample."""
-    tame = F.greatest(F.least(F.col("retorno") / 1000, F.lit(0.02)), F.lit(-0.02))
-    return M.equal_weight_basket(A.bars(spark, sf)).select("fecha", tame.alias("r"))
+    """Daily returns of the market: what a unit cost on average on each day, as it is."""
+    return M.returns(A.market_days(spark, sf)).select("fecha", F.col("retorno").alias("r"))
 
 
 MARKET_SQL = """
-SELECT fecha, greatest(least(coalesce(s / nullif(coalesce(sum(nuevos) OVER (ORDER BY fecha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), 0) / 1000, 0.02), -0.02) AS r
-FROM (SELECT fecha, sum(r) AS s, count(*) FILTER (WHERE r IS NULL) AS nuevos
-      FROM (SELECT fecha, adj_close / lag(adj_close) OVER (PARTITION BY ticker_usd ORDER BY fecha) - 1 AS r FROM bars) GROUP BY fecha)"""
-
-
-def _paths_sql(sims: int, horizon: int) -> str:
-    return f"""
-h AS MATERIALIZED (SELECT r, row_number() OVER (ORDER BY fecha) - 1 AS i, count(*) OVER () AS n, avg(r) OVER () AS media FROM ({MARKET_SQL})),
-paths AS MATERIALIZED (
-  SELECT sim, paso, e.escenario, CASE e.escenario WHEN 'historico' THEN h.r ELSE h.r - h.media + (pow(1.08e0, 1e0 / 252) - 1) END AS r
-  FROM (SELECT sim, b * 21 + o + 1 AS paso, (s + o) % (SELECT max(n) FROM h) AS i
-        FROM (SELECT sim, b, CAST('0x' || substr(md5('42-' || sim || '-' || b), 1, 12) AS BIGINT) % (SELECT max(n) FROM h) AS s FROM range({sims}) x(sim), range({-(-horizon // 21)}) y(b)), range(21) z(o)) p
-  JOIN h ON h.i = p.i, (SELECT unnest(['historico', 'conservador']) AS escenario) e WHERE paso <= {horizon})"""
+SELECT fecha, p / lag(p) OVER (ORDER BY fecha) - 1 AS r
+FROM (SELECT CAST(l_shipdate AS DATE) AS fecha, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / 100 AS p FROM lineitem GROUP BY 1)
+QUALIFY r IS NOT NULL"""
 
 
 @query(
     "block_bootstrap",
-    "escenario mediana_pct:f4 p5_pct:f4 cvar_pct:f4 p95_pct:f4 perdida_pct:f4 dd_mediana_pct:f4 dd_p5_pct:f4",
+    "ventanas:i mediana_pct:f4 p5_pct:f4 cvar_pct:f4 p95_pct:f4 perdida_pct:f4 peor_pct:f4",
     f"""
-WITH {_paths_sql(500, 252)},
-w AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY escenario, sim ORDER BY paso)) AS v FROM paths),
-e AS (SELECT escenario, sim, arg_max(v, paso) - 1 AS final, min(least(v / m - 1, 0)) AS dd
-      FROM (SELECT *, greatest(max(v) OVER (PARTITION BY escenario, sim ORDER BY paso), 1) AS m FROM w) GROUP BY 1, 2),
-q AS (SELECT escenario, median(final) AS md, quantile_cont(final, 0.05) AS p5, quantile_cont(final, 0.95) AS p95, median(dd) AS dm, quantile_cont(dd, 0.05) AS d5,
-             avg(CASE WHEN final < 0 THEN 1e0 ELSE 0 END) AS l FROM e GROUP BY 1)
-SELECT q.escenario, md * 100 AS mediana_pct, p5 * 100 AS p5_pct, (SELECT avg(final) FROM e WHERE e.escenario = q.escenario AND e.final <= q.p5) * 100 AS cvar_pct, p95 * 100 AS p95_pct,
-       l * 100 AS perdida_pct, dm * 100 AS dd_mediana_pct, d5 * 100 AS dd_p5_pct FROM q""",
+WITH h AS ({MARKET_SQL}),
+e AS (SELECT exp(l) - 1 AS final FROM (SELECT sum(ln(1 + r)) OVER w AS l, count(*) OVER w AS n FROM h WINDOW w AS (ORDER BY fecha ROWS BETWEEN 1 FOLLOWING AND 252 FOLLOWING)) WHERE n = 252),
+q AS (SELECT count(*) AS ventanas, median(final) AS md, quantile_cont(final, 0.05) AS p5, quantile_cont(final, 0.95) AS p95, avg(CASE WHEN final < 0 THEN 1e0 ELSE 0 END) AS l, min(final) AS mn FROM e)
+SELECT ventanas, md * 100 AS mediana_pct, p5 * 100 AS p5_pct, (SELECT avg(final) FROM e WHERE final <= p5) * 100 AS cvar_pct, p95 * 100 AS p95_pct, l * 100 AS perdida_pct, mn * 100 AS peor_pct FROM q""",
 )
 def block_bootstrap(spark, sf):
-    return K.simulate_year(_portfolio_returns(spark, sf), n_sims=500)
+    """All real one-year windows instead of drawn ones."""
+    return K.yearly_outcomes(_portfolio_returns(spark, sf))
 
 
 @query(
@@ -197,21 +188,21 @@ def cashflow_terminal(spark, sf):
 
 @query(
     "sequence_risk",
-    "plan mediano:f4 peor_5:f4 mediano_mal_primer_anio:f4 mediano_mal_ultimo_anio:f4 corr_primer_anio:f4 corr_ultimo_anio:f4",
+    "orden plan valor:f4",
     f"""
-WITH RECURSIVE {_paths_sql(300, 504)},
+WITH RECURSIVE h AS (SELECT r, row_number() OVER (ORDER BY fecha) AS k, count(*) OVER () AS n FROM ({MARKET_SQL})),
+p AS (SELECT 'real' AS orden, k AS paso, r FROM h UNION ALL SELECT 'invertido', n - k + 1, r FROM h),
 walk AS (
-  SELECT CAST(sim AS BIGINT) AS sim, plan, flujo, CAST(0 AS BIGINT) AS paso, CAST(100 AS DOUBLE) AS v FROM range(300) x(sim), (VALUES ('sin flujos', 0e0), ('aporta', 0.5e0), ('retira', -0.5e0)) f(plan, flujo)
+  SELECT orden, plan, flujo, CAST(0 AS BIGINT) AS paso, CAST(100 AS DOUBLE) AS v
+  FROM (SELECT unnest(['real', 'invertido']) AS orden), (VALUES ('aporta mucho', 5e0), ('retira mucho', -5e0)) f(plan, flujo)
   UNION ALL
-  SELECT w.sim, w.plan, w.flujo, p.paso, CASE WHEN p.paso % 21 = 0 THEN greatest(w.v * (1 + p.r) + w.flujo, 0) ELSE w.v * (1 + p.r) END
-  FROM walk w JOIN paths p ON p.escenario = 'conservador' AND p.sim = w.sim AND p.paso = w.paso + 1),
-y AS (SELECT sim, exp(sum(CASE WHEN paso <= 252 THEN ln(1 + r) ELSE 0 END)) - 1 AS a, exp(sum(CASE WHEN paso > 252 THEN ln(1 + r) ELSE 0 END)) - 1 AS z FROM paths WHERE escenario = 'conservador' GROUP BY 1),
-e AS (SELECT walk.sim, plan, v, a, z FROM walk JOIN y ON y.sim = walk.sim WHERE paso = 504)
-SELECT plan, median(v) AS mediano, quantile_cont(v, 0.05) AS peor_5, median(v) FILTER (WHERE a <= (SELECT quantile_cont(a, 1e0 / 3) FROM y)) AS mediano_mal_primer_anio,
-       median(v) FILTER (WHERE z <= (SELECT quantile_cont(z, 1e0 / 3) FROM y)) AS mediano_mal_ultimo_anio, corr(v, a) AS corr_primer_anio, corr(v, z) AS corr_ultimo_anio FROM e GROUP BY 1""",
+  SELECT w.orden, w.plan, w.flujo, p.paso, CASE WHEN p.paso % 63 = 0 THEN greatest(w.v * (1 + p.r) + w.flujo, 0) ELSE w.v * (1 + p.r) END
+  FROM walk w JOIN p ON p.orden = w.orden AND p.paso = w.paso + 1)
+SELECT orden, plan, arg_max(v, paso) AS valor FROM walk GROUP BY 1, 2""",
 )
 def sequence_risk(spark, sf):
-    return K.sequence_risk(_portfolio_returns(spark, sf), horizon=504, n_sims=300)
+    """Heavier, rarer flows over the real history and its reverse: how much the order of the same returns weighs."""
+    return K.order_of_returns(_portfolio_returns(spark, sf), {"aporta mucho": 5.0, "retira mucho": -5.0}, every=63)
 
 
 EVENTS = {"A": dt.date(1998, 10, 4), "B": dt.date(1999, 10, 24), "C": dt.date(2001, 6, 30)}

@@ -16,7 +16,6 @@ from tickerloom.functions.expr import ratio
 
 # A DATE column has at most this many distinct values (years 1-9999).
 DATE_DOMAIN_ROWS = 3_652_059
-MAX_BROADCAST_COLUMNS = 16
 
 
 def by_date(key: str | Sequence[str] = "ticker_usd", date: str = "fecha") -> WindowSpec:
@@ -72,10 +71,10 @@ def first_rows(df: DataFrame, key: str = "ticker_usd", date: str = "fecha") -> D
 def broadcast_per_date(df: DataFrame) -> DataFrame:
     """Broadcast hint for a table holding one row per calendar date.
 
-    Its size cannot exceed the DATE domain times its columns (under 100 MB for two
-    doubles even over all of years 1-9999). Wider tables are left to the planner.
+    Its rows cannot exceed the DATE domain (a few columns over all of years 1-9999 stay
+    under 100 MB), so callers pass only frames of few columns.
     """
-    return F.broadcast(df) if len(df.columns) <= MAX_BROADCAST_COLUMNS else df
+    return F.broadcast(df)
 
 
 def series_by_date(macro: DataFrame, series: dict[str, str]) -> DataFrame:

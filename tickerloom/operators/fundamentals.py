@@ -221,12 +221,13 @@ def financial_health(metrics: DataFrame, balances: DataFrame, dim: DataFrame, ro
 
 
 def statement_momentum(
-    income: DataFrame, eps_annual: DataFrame, eps_reports: DataFrame, rounded_output: bool = True
+    income: DataFrame, eps_annual: DataFrame, eps_reports: DataFrame, rounded_output: bool = True, last_reported: int = 4
 ) -> DataFrame:
     """Growth, acceleration, EPS growth rates and earnings surprises per company.
 
     ``income``: ticker_usd, fecha_balance, ingresos, ganancia_neta. ``eps_annual``: ticker_usd, fecha_balance, eps.
-    ``eps_reports``: ticker_usd, fecha_reporte, eps_reportado, sorpresa_pct, newest five rows per ticker.
+    ``eps_reports``: ticker_usd, fecha_reporte, eps_reportado, sorpresa_pct; the surprise figures are over
+    the ``last_reported`` newest of those with a result.
     """
     r = rounded_output
     w = by_date(date="fecha_balance")
@@ -264,10 +265,9 @@ def statement_momentum(
         .select("ticker_usd", *[rounded(cagr(y), 1, r).alias(f"eps_growth_{y}y_pct") for y in (3, 5)])
     )
     reported = (
-        eps_reports.withColumn("n_all", F.row_number().over(Window.partitionBy("ticker_usd").orderBy(F.col("fecha_reporte").desc())))
-        .filter((F.col("n_all") <= 5) & F.col("eps_reportado").isNotNull())
+        eps_reports.filter(F.col("eps_reportado").isNotNull())
         .withColumn("n", F.row_number().over(Window.partitionBy("ticker_usd").orderBy(F.col("fecha_reporte").desc())))
-        .filter((F.col("n") <= 4) & F.col("sorpresa_pct").isNotNull())
+        .filter((F.col("n") <= last_reported) & F.col("sorpresa_pct").isNotNull())
         .groupBy("ticker_usd")
         .agg(
             rounded(F.avg("sorpresa_pct"), 1, r).alias("sorpresa_eps_prom_4q_pct"),

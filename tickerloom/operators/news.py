@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.expr import AsOf, as_of_date, ladder, rounded
@@ -19,7 +18,6 @@ INSIDER_DAYS = 90
 RELEVANT_AMOUNT = 100_000
 # Positions whose purchases count whatever their size (fixed pattern).
 CHIEF_PATTERN = r"chief executive|chief financial|\bceo\b|\bcfo\b"
-MAX_HEADLINES, SCANNED_ITEMS = 15, 30
 
 Scorer = Callable[[pd.Series], pd.DataFrame]
 
@@ -90,22 +88,24 @@ def insider_signal(
     )
 
 
-def recent_headlines(items: DataFrame, as_of: AsOf = None, days: int = WINDOW_DAYS) -> DataFrame:
-    """The headlines kept per ticker: the first 15 usable ones among the first 30 items of its feed.
+def recent_headlines(
+    items: DataFrame, as_of: AsOf = None, days: int = WINDOW_DAYS, scanned: int | None = None, kept: int | None = None
+) -> DataFrame:
+    """The usable headlines of the window. A caller that mirrors one request per ticker can limit the feed items looked at
+    (``scanned``) and the headlines taken of those (``kept``); by default nothing is cut.
 
     ``items``: ticker_usd, orden (position in the feed), titular, fecha_publicacion and any other columns.
     """
     today = as_of_date(as_of, items, "fecha_publicacion")
     feed = Window.partitionBy("ticker_usd").orderBy("orden")
     usable = F.col("titular").isNotNull() & (F.col("titular") != "") & (F.col("fecha_publicacion") >= F.date_sub(today, days))
-    return (
-        items.withColumn("_n", F.row_number().over(feed))
-        .filter(F.col("_n") <= SCANNED_ITEMS)
-        .filter(usable)
-        .withColumn("_k", F.row_number().over(feed))
-        .filter(F.col("_k") <= MAX_HEADLINES)
-        .drop("_n", "_k")
-    )
+    found = items
+    if scanned is not None:
+        found = found.withColumn("_n", F.row_number().over(feed)).filter(F.col("_n") <= scanned).drop("_n")
+    found = found.filter(usable)
+    if kept is not None:
+        found = found.withColumn("_n", F.row_number().over(feed)).filter(F.col("_n") <= kept).drop("_n")
+    return found
 
 
 def new_headlines(items: DataFrame, stored: DataFrame) -> DataFrame:
@@ -115,37 +115,42 @@ def new_headlines(items: DataFrame, stored: DataFrame) -> DataFrame:
     return items.withColumn("_d", digest).join(seen, ["ticker_usd", "_d"], "left_anti").select(*items.columns)
 
 
-class LexiconScorer:
-    """Label and confidence from counts of good and bad words; stands in where no model is installed."""
+# Fixed word lists.
+GOOD = ("beat", "beats", "gain", "gains", "growth", "high", "profit", "record", "rise", "rises", "strong", "surge", "up", "upgrade")
+BAD = ("cut", "cuts", "down", "downgrade", "drop", "drops", "fall", "falls", "fraud", "loss", "low", "miss", "misses", "weak")
 
-    # Fixed word lists.
-    GOOD = ("beat", "beats", "gain", "gains", "growth", "high", "profit", "record", "rise", "rises", "strong", "surge", "up", "upgrade")
-    BAD = ("cut", "cuts", "down", "downgrade", "drop", "drops", "fall", "falls", "fraud", "loss", "low", "miss", "misses", "weak")
 
-    def __init__(self, good: tuple[str, ...] = GOOD, bad: tuple[str, ...] = BAD):
-        self.good, self.bad = (rf"\b(?:{'|'.join(words)})\b" for words in (good, bad))
+def word_pattern(words: tuple[str, ...]) -> str:
+    """Whole words; only ASCII letters, digits and the underscore make a word longer."""
+    return rf"(?<![a-z0-9_])(?:{'|'.join(words)})(?![a-z0-9_])"
 
-    def __call__(self, texts: pd.Series) -> pd.DataFrame:
-        lower = texts.fillna("").str.lower()
-        good, bad = lower.str.count(self.good, re.ASCII), lower.str.count(self.bad, re.ASCII)
-        label = pd.Series("neutral", index=texts.index).mask(good > bad, "positive").mask(bad > good, "negative")
-        score = (1 + (good - bad).abs()) / (2 + good + bad)
-        return pd.DataFrame({"sentimiento": label, "score_sentimiento": score.astype(float)})
+
+def lexicon_score(text: Column, good: tuple[str, ...] = GOOD, bad: tuple[str, ...] = BAD) -> tuple[Column, Column]:
+    """Label and confidence from counts of good and bad words; stands in where no model is installed."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    g, b = (F.regexp_count(lower, F.lit(word_pattern(w))) for w in (good, bad))
+    label = F.when(g > b, "positive").when(b > g, "negative").otherwise("neutral")
+    return label, F.round((1 + F.abs(g - b)) / (2 + g + b), 3)
 
 
-def score_headlines(items: DataFrame, stored: DataFrame, scorer: Scorer | None = None, text: str = "titular") -> DataFrame:
-    """Score the new headlines in Arrow batches; ``scorer`` maps a series of texts to label and confidence."""
-    score = scorer or LexiconScorer()
+def score_headlines(
+    items: DataFrame, stored: DataFrame, scorer: Scorer | None = None, text: str = "titular", good: tuple[str, ...] = GOOD, bad: tuple[str, ...] = BAD
+) -> DataFrame:
+    """Score the new headlines: by word counts in the plan itself, or in Arrow batches by a caller's model, which maps a series of
+    texts to label and confidence."""
+    fresh = new_headlines(items, stored)
+    if scorer is None:
+        label, score = lexicon_score(F.col(text), good, bad)
+        return fresh.withColumns({"sentimiento": label, "score_sentimiento": score})
 
     def batches(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield score(part)
+            yield scorer(part)
 
     # the hints must be live types for Spark to see an iterator UDF
     batches.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     run = F.pandas_udf(batches, "sentimiento string, score_sentimiento double")
-    scored = new_headlines(items, stored).withColumn("_s", run(F.col(text)))
+    scored = fresh.withColumn("_s", run(F.col(text)))
     return scored.withColumn("sentimiento", F.col("_s.sentimiento")).withColumn(
         "score_sentimiento", F.round("_s.score_sentimiento", 3)
     ).drop("_s")
-

@@ -84,8 +84,8 @@ def rank_candidates(df: DataFrame) -> DataFrame:
     """Percentile scores and their mean over the available ones.
 
     The P/E rank counts every company, and only then turns neutral where the P/E says little. Ranks are over the
-    whole set, computed by value counts rather than in one sorted task. The frame is read several times: pass one
-    that is stored or cut (``session.cut_lineage``), not the whole chain of joins behind it.
+    whole set, computed by value counts rather than in one sorted task. The frame is read several times: a stored one is
+    cheaper than the whole chain of joins behind it.
     """
     scored = df.withColumn("_barata", -F.col("comp_pe_vs_sector_pct")).withColumn(
         "salud_ratio", ratio("salud_score", "salud_evaluables")
@@ -278,9 +278,9 @@ def verdict(evaluated: DataFrame, mature_days: int = MATURE_DAYS) -> DataFrame:
 
 
 def stretch_groups(
-    styles: DataFrame, health: DataFrame, tech: DataFrame, consensus_up: DataFrame, waves: DataFrame
+    styles: DataFrame, health: DataFrame, tech: DataFrame, consensus_up: DataFrame, waves: DataFrame, comps: DataFrame, sentiment: DataFrame
 ) -> DataFrame:
-    """Quality companies split by how stretched their price is, with the state of the current leg."""
+    """Companies with a sector to compare with, split by quality and by how stretched their price is, with the state of the current leg."""
     passes = F.coalesce(
         (F.col("salud_clasificacion").isNull() | (F.col("salud_clasificacion") != "Riesgo"))
         & (F.col("crecimiento_ganancia_anual_pct") > COLLAPSED_PROFIT_PCT)
@@ -291,6 +291,8 @@ def stretch_groups(
     return (
         styles.select("ticker_usd", "nombre_empresa", "sector", "lynch_checklist_score", "crecimiento_ganancia_anual_pct")
         .join(health.select("ticker_usd", "salud_clasificacion", "margen_neto_pct"), "ticker_usd")
+        .join(comps.select("ticker_usd", "pe_trailing", "comp_pe_vs_sector_pct", "roe_pct"), "ticker_usd")
+        .join(sentiment.select("ticker_usd", "sent_clasificacion"), "ticker_usd", "left")
         .join(tech.select("ticker_usd", "tech_rsi14", "tech_dist_max_52s_pct", "tech_volumen_prom_30d"), "ticker_usd", "left")
         .join(consensus_up.select("ticker_usd", "upside_pct"), "ticker_usd", "left")
         .join(waves.select("ticker_usd", "onda_pierna_actual", "onda_pierna_actual_pct"), "ticker_usd", "left")

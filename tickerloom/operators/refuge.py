@@ -98,6 +98,22 @@ def episode_returns(
     )
 
 
+def kept_episodes(
+    prices: DataFrame,
+    macro: DataFrame,
+    dim: DataFrame,
+    index_code: str = "SP500",
+    min_days: int = MIN_DAYS,
+    threshold: float = EPISODE_THRESHOLD,
+    rounded_output: bool = True,
+) -> DataFrame:
+    """Episode rows of the tickers with at least ``min_days`` paired returns, the ones that get a segment."""
+    index = index_series(macro, index_code)
+    aligned = aligned_prices(eligible_prices(prices, dim), index)
+    enough = paired_returns(aligned, index).groupBy("ticker_usd").agg(F.count("*").alias("n")).filter(F.col("n") >= min_days)
+    return episode_returns(aligned, index, threshold, rounded_output).join(enough, "ticker_usd", "left_semi")
+
+
 def refuge(
     prices: DataFrame,
     macro: DataFrame,

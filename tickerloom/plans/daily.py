@@ -50,9 +50,7 @@ def refresh_gold(wh: Warehouse, as_of: dt.date, index_code: str = "SP500") -> No
     step("gold_insiders", news.insider_signal(wh.read("fact_insider_transacciones"), as_of))
     pivots = step("gold_pivots", swings.with_elliott(swings.zigzag(prices)))
     step("gold_ondas", swings.wave_state(pivots, prices))
-    index = refuge.index_series(series, index_code)
-    aligned = refuge.aligned_prices(refuge.eligible_prices(prices, dim), index)
-    step("gold_refugio_episodios", refuge.episode_returns(aligned, index))
+    step("gold_refugio_episodios", refuge.kept_episodes(prices, series, dim, index_code))
     step("gold_refugio", refuge.refuge(prices, series, dim, index_code))
     # currency series only: at most one per three-letter code
     fx = [r.serie for r in series.filter(F.col("serie").rlike("^USD[A-Z]{3}$")).select("serie").distinct().collect()]

@@ -1,10 +1,8 @@
-"""Session defaults and durable lineage cuts."""
+"""Session defaults."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -25,22 +23,3 @@ def build_session(app: str = "tickerloom", master: str | None = None, **conf: st
     for key, value in {**DEFAULT_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df``.
-
-    The cluster names a shared folder in ``spark.checkpoint.dir``; it is read from
-    the session so that a lost executor never takes the cut data with it. Only a
-    local session without that setting gets a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tickerloom-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)

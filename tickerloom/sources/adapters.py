@@ -287,6 +287,33 @@ def saved_portfolios(spark: SparkSession, sf_dir: str, size: int = 9) -> DataFra
     )
 
 
+def _unit_price(lines: DataFrame, *keys: Column) -> DataFrame:
+    cents, units = F.sum(_whole("l_extendedprice")), F.sum(F.col("l_quantity").cast("long"))
+    return lines.groupBy(*keys).agg((cents / units / 100).alias("adj_close"))
+
+
+def market_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a unit cost on average on each day, as one series."""
+    day = F.to_date("l_shipdate").alias("fecha")
+    return _unit_price(table(spark, sf_dir, "lineitem"), F.lit("MARKET").alias("ticker_usd"), day)
+
+
+def _nation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    home = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("ticker_usd"))
+    return table(spark, sf_dir, "lineitem").join(home, F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+def nation_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price of a unit by nation of the supplier and month: few names that share nearly all dates."""
+    return _unit_price(_nation_lines(spark, sf_dir), F.col("ticker_usd"), F.last_day("l_shipdate").alias("fecha"))
+
+
+def most_traded_nations(spark: SparkSession, sf_dir: str, n: int) -> list[str]:
+    """The ``n`` nations with the largest volume."""
+    volume = _nation_lines(spark, sf_dir).groupBy("ticker_usd").agg(F.sum("l_quantity").cast("long").alias("v"))
+    return [row.ticker_usd for row in volume.orderBy(F.col("v").desc(), "ticker_usd").limit(n).collect()]
+
+
 def most_traded(spark: SparkSession, sf_dir: str, n: int = 5) -> list[str]:
     """The ``n`` suppliers with the largest volume: the portfolio the small-portfolio reports look at."""
     volume = table(spark, sf_dir, "lineitem").groupBy(ticker("l_suppkey").alias("t")).agg(F.sum("l_quantity").cast("long").alias("v"))

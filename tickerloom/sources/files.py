@@ -6,7 +6,7 @@ DataFrame function, so the same rows come out of a batch read and of a file stre
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.expr import AsOf, ratio
@@ -51,7 +51,6 @@ INCOME_MAPS = {
     "gastos_operativos_anual": "gastos_operativos", "ganancia_anual": "ganancia_neta",
 }
 BALANCE_MAPS = {"deuda_anual": "deuda_total", "efectivo_anual": "efectivo", "fcf_anual": "flujo_caja_libre"}
-KEPT_REPORTS = 5
 
 _MAP = "map<string,double>"
 SNAPSHOT_SCHEMA = "ticker string, info struct<" + ", ".join(
@@ -178,9 +177,8 @@ def eps_annual_rows(statements: DataFrame) -> DataFrame:
 
 
 def eps_rows(statements: DataFrame) -> DataFrame:
-    """fact_eps_trimestral: the first five reports of the array, the unreported next one included."""
-    first = F.slice("eps_trimestral", 1, KEPT_REPORTS)
-    rows = statements.select(F.col("ticker").alias("ticker_usd"), F.explode(first).alias("e"))
+    """fact_eps_trimestral: every report of the array, the unreported next one included."""
+    rows = statements.select(F.col("ticker").alias("ticker_usd"), F.explode("eps_trimestral").alias("e"))
     return rows.select(
         "ticker_usd", F.to_date("e.fecha").alias("fecha_reporte"), "e.eps_estimado", "e.eps_reportado", "e.sorpresa_pct"
     )
@@ -247,11 +245,14 @@ def mail_time(text: Column) -> Column:
 def read_news_files(spark: SparkSession, path: str) -> DataFrame:
     """RSS files, one per ticker: raw items with ``ticker_usd`` and their place in the feed."""
     items = spark.read.format("xml").option("rowTag", "item").schema(NEWS_SCHEMA).load(path)
-    return items.withColumn("ticker_usd", file_stem()).withColumn("orden", F.monotonically_increasing_id())
+    # pieces of one file follow each other by where they begin, whatever partition they came in
+    piece = Window.partitionBy("ticker_usd").orderBy("_file", "_block", "_row")
+    placed = items.select("*", file_stem().alias("ticker_usd"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    return placed.withColumn("_row", F.monotonically_increasing_id()).withColumn("orden", F.row_number().over(piece)).drop("_file", "_block", "_row")
 
 
 def news_items(raw: DataFrame, as_of: AsOf = None) -> DataFrame:
-    """Headlines kept from raw feed items: titled, dated, of the last days, within the per-ticker limits."""
+    """Headlines kept from raw feed items: titled, dated, of the last days, none cut off."""
     items = raw.select(
         "ticker_usd", "orden", F.col("title").alias("titular"), F.col("source._VALUE").alias("fuente"),
         mail_time(F.col("pubDate")).alias("fecha_publicacion"), "link",
