@@ -181,24 +181,23 @@ def test_scores(docs, prose):
 
 
 def test_bits_are_a_distribution():
-    """The probabilities of all one-symbol continuations of a text add up to one."""
+    """The probabilities of all symbols in one place add up to one, and equal texts have equal code lengths wherever they stand."""
     import numpy as np
 
     r = np.random.default_rng(0)
     coder = mixing.Coder(r.integers(0, 50, 257))
     odds = [r.normal(0, 1, 1 << b).astype(np.float32) for b in mixing.BITS]
-    model = mixing.Model(coder, odds, r.normal(0.3, 0.1, (mixing.GATES, len(mixing.BITS))).astype(np.float32))
+    model = mixing.Model(coder, odds, r.normal(0.3, 0.1, (mixing.GATES, len(mixing.BITS))).astype(np.float32), "m")
     assert sum(2.0 ** -coder.length.astype(float)) == pytest.approx(1)
-    data = np.tile(np.frombuffer(b"ab c", np.uint8), 300)
-    pairs = [(x, y) for x in b"ab" for y in b"cd"]
-    one = mixing.text_bits(model, data, np.array([0, len(data)]))[0]
-    again = mixing.text_bits(model, np.concatenate([data, data]), np.array([0, len(data), 2 * len(data)]))
-    assert again.tolist() == pytest.approx([one, one]) and len(pairs) == 4
     total = 0.0
-    symbol, _, long = coder.symbols(np.zeros(0, np.uint8), np.array([0, 0]))
     for s in range(257):
-        _, bit, slot = coder.slots(np.array([s]), long[:, :1])
-        x = np.stack([o[t] for o, t in zip(model.odds, slot)])
-        logit = (model.weights[mixing._gate(x)].T * x).sum(0)
-        total += float(np.prod(1 / (1 + np.exp(np.where(bit == 1, -logit, logit)))))
+        signed, n = model.word_odds([b"ab" + (bytes([s]) if s < 256 else b"")])
+        before = int(coder.length[[97, 98]].sum())
+        own = signed[before : before + int(coder.length[s])]
+        total += float(np.prod(1 / (1 + np.exp(-own))))
     assert total == pytest.approx(1, rel=1e-4)
+    memory = mixing.Words(model, np.zeros(0, np.uint64), np.zeros(0))
+    text = [b"ab", b"c", b"abba"] * 700 + [b""]
+    which, row = memory.of(text * 2), np.repeat([0, 1], len(text))
+    both = mixing.code_lengths(memory, which, row, 2)
+    assert both[0] == pytest.approx(both[1]) and both[0] == pytest.approx(mixing.code_lengths(memory, which[: len(text)], row[: len(text)], 1)[0])

@@ -99,7 +99,7 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.d
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN n USING (doc_id) JOIN (SELECT d AS doc_id, min(m) AS component_id FROM r GROUP BY d) USING (doc_id)""",
 )
 def op4_near_dedup(spark, sf_dir):
-    return near.near_groups(documents(spark, sf_dir), words=3, same_of_100=85)
+    return near.near_groups(documents(spark, sf_dir), words=3, same_of_100=85).drop("mark")
 
 
 @query("op1_repeated_bytes")
