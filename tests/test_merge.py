@@ -102,5 +102,5 @@ def test_warehouse_round_trip(spark, table, tmp_path):
     with pytest.raises(ZeroDivisionError), wh.logged("job"):
         1 / 0
     with wh.logged("job") as info:
-        info["filas_afectadas"] = 4
+        info.rows = 4
     assert sorted((r.estado, r.filas_afectadas) for r in wh.read("log_ejecuciones").collect()) == [("error", None), ("ok", 4)]

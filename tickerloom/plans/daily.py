@@ -26,7 +26,7 @@ def refresh_quality(wh: Warehouse, as_of: dt.date) -> DataFrame:
     with wh.logged("quality_marks") as log:
         marks = quality.data_quality(wh.read("fact_precios_daily"), wh.read("fact_metrics_daily"), wh.read("dim_empresa"), as_of)
         out = wh.publish("silver_calidad_datos", marks)
-        log["filas_afectadas"] = out.count()
+        log.rows = out.count()
     return out
 
 
@@ -38,7 +38,7 @@ def refresh_gold(wh: Warehouse, as_of: dt.date, index_code: str = "SP500") -> No
     def step(name: str, df: DataFrame) -> DataFrame:
         with wh.logged(name) as log:
             out = wh.publish(name, df)
-            log["filas_afectadas"] = out.count()
+            log.rows = out.count()
         return out
 
     step("gold_technical", technical.technical(prices))
@@ -94,7 +94,7 @@ def follow_up(wh: Warehouse, as_of: dt.date) -> DataFrame:
             monitor.monitor_watchlist(wh.read("seguimiento"), prices, wh.read("fact_macro_daily"), eps, dim, tech, mood, marks, as_of),
         )
         alerts = alert_rows(held, "cartera").unionByName(alert_rows(watched, "seguimiento"))
-        log["filas_afectadas"] = alerts.select("origen", "ticker_usd").distinct().count()
+        log.rows = alerts.select("origen", "ticker_usd").distinct().count()
     return wh.publish("alertas", alerts)
 
 

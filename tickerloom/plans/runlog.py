@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,19 +18,28 @@ def log_row(
     return spark.createDataFrame([(script, started, ended, status, rows, error)], TABLES["log_ejecuciones"].schema)
 
 
-@contextmanager
-def logged_run(spark: SparkSession, script: str, append: Callable[[DataFrame], None]) -> Iterator[dict]:
-    """Append one row when the block ends, 'ok' or 'error', and let an error through.
+class Run:
+    """A job while it runs: set ``rows`` inside the block; leaving it stores one row, errors included, and hides none.
 
-    The block sets ``filas_afectadas`` on the yielded dict.
+    Times are UTC, like the days of the guards.
     """
-    started, info = dt.datetime.now(), {"filas_afectadas": None}
-    try:
-        yield info
-    except Exception as error:
-        append(log_row(spark, script, started, dt.datetime.now(), "error", info["filas_afectadas"], str(error)))
-        raise
-    append(log_row(spark, script, started, dt.datetime.now(), "ok", info["filas_afectadas"], None))
+
+    def __init__(self, spark: SparkSession, script: str, append: Callable[[DataFrame], None]):
+        self.spark, self.script, self.append, self.rows = spark, script, append, None
+
+    def __enter__(self) -> Run:
+        self.started = utc_now()
+        return self
+
+    def __exit__(self, kind, error, trace) -> bool:
+        failed = isinstance(error, Exception)
+        if error is None or failed:
+            self.append(log_row(self.spark, self.script, self.started, utc_now(), "error" if failed else "ok", self.rows, str(error) if failed else None))
+        return False
+
+
+def utc_now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc)
 
 
 def ran_since(log: DataFrame, as_of: AsOf, days: int = 0) -> DataFrame:

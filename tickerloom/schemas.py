@@ -1,4 +1,4 @@
-"""Table schemas of the warehouse, one DDL string per table, and their keys."""
+"""Table schemas of the warehouse, one DDL string per table, and their keys. Table and column names are fixed values."""
 
 from __future__ import annotations
 
@@ -150,8 +150,7 @@ TABLES: dict[str, Table] = {
     ]
 }
 
-# Per-company tables purged together when a company leaves the universe. The
-# watchlist and the saved portfolios stay: they are the user's own decisions.
+# Names of the per-company fact tables. What people chose themselves (watchlist, saved portfolios) is not among them.
 PURGED_TABLES = [
     "fact_precios_daily", "fact_metrics_daily", "fact_income_statement_annual", "fact_balance_cashflow_annual",
     "fact_eps_trimestral", "fact_consenso_analistas", "fact_noticias", "fact_precios_adr",

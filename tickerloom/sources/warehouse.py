@@ -45,8 +45,8 @@ class Warehouse:
         generation = self._generation(table)
         if not generation:
             return self.spark.createDataFrame([], f"{TABLES[table].ddl}, {YEAR} int")
-        # merged schemas: a column added to a table later reads as NULL in older files
-        return self.spark.read.option("mergeSchema", True).parquet(self._folder(table, generation))
+        # the known schema: no file is opened to learn it, and a column added to a table later reads as NULL in older files
+        return self.spark.read.schema(f"{TABLES[table].ddl}, {YEAR} int").parquet(self._folder(table, generation))
 
     def _with_year(self, table: str, df: DataFrame) -> DataFrame:
         date = TABLES[table].date_column
@@ -129,9 +129,9 @@ class Warehouse:
 
     def logged(self, script: str):
         """Context manager that leaves a row in the run log."""
-        from tickerloom.plans.runlog import logged_run
+        from tickerloom.plans.runlog import Run
 
-        return logged_run(self.spark, script, lambda row: self.append("log_ejecuciones", row))
+        return Run(self.spark, script, lambda row: self.append("log_ejecuciones", row))
 
 
 def conform_present(df: DataFrame, table: str) -> DataFrame:
