@@ -310,7 +310,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group:
     hash of the text."""
     own = texts_of(docs).select("doc_id", F.xxhash64("text").alias("mark"), "text")
     anchors = stored(own.filter(F.octet_length("text") >= length).mapInArrow(_anchors(length, anchor), ANCHORS), "anchors")
-    several = anchors.groupBy("key").agg(F.count("*").alias("places")).filter("places > 1").select("key")
+    # stored, so that the join deals both sides out by itself and can split a key that very many places share
+    several = stored(anchors.groupBy("key").agg(F.count("*").alias("places")).filter("places > 1").select("key"), "keys")
     met = stored(anchors.join(several, "key", "left_semi"), "met")
     holders = met.select("doc_id", "mark").distinct()
     texts = stored(own.join(holders, own["doc_id"].eqNullSafe(holders["doc_id"]) & (own["mark"] == holders["mark"]), "left_semi").dropDuplicates(["doc_id", "mark"]), "texts")
