@@ -8,7 +8,8 @@ under ``MISSED``. Links are confirmed on the full sets.
 Scale: texts with the same set are one class and are compared once. In each meeting place every class is compared with one hub, the class that meets
 most others, so a group of any size gives a link per member. What remains are pairs that share a hub but not a group. Of those only pairs that can reach the threshold
 are looked at: were two sets alike, then so would be their differences from the hub, and the first few elements of these (in one fixed
-order, those that the hub lacks first) would have to meet. So members of a hub meet again by these elements, in blocks of ``BLOCK_OF``, and pairs whose
+order, those that the hub lacks first) would have to meet; and pairs whose differences are too large to be made up by what both lack of the hub meet by an element that
+the hub lacks. So members of a hub meet again by these elements, in blocks of ``BLOCK_OF``, and pairs whose
 sizes, distances to the hub and sketches allow the threshold are verified. Sets are kept only for classes that met another.
 
 Null or empty text has the empty set and is linked with nothing. A row without doc_id is a group of its own. Rows with the same doc_id are compared each with its
@@ -163,7 +164,7 @@ def _sets(k: int):
     return run
 
 
-COMPARED = "class long, hub long, linked boolean, apart int, head array<int>"
+COMPARED = "class long, hub long, linked boolean, apart int, added int, head array<int>"
 
 
 def _compare(same_of_100: int, heads: bool):
@@ -172,7 +173,7 @@ def _compare(same_of_100: int, heads: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, apart, head = [], [], []
+            linked, apart, added, head = [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 shared = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
@@ -180,12 +181,13 @@ def _compare(same_of_100: int, heads: bool):
                 linked.append(100 * both >= same_of_100 * (len(x) + len(y) - both))
                 apart.append(len(x) + len(y) - 2 * both)
                 own = x[~shared]
+                added.append(len(own))
                 wanted = int(len(x) * room + 1e-9) + 1 if heads else 0
                 if len(own) < wanted:
                     own = np.concatenate([own, y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y]])
                 head.append((own[:wanted] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            columns = [pa.array(linked, pa.bool_()), pa.array(apart, pa.int32()), pa.array(head, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["class", "hub", "linked", "apart", "head"])
+            columns = [pa.array(linked, pa.bool_()), pa.array(apart, pa.int32()), pa.array(added, pa.int32()), pa.array(head, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["class", "hub", "linked", "apart", "added", "head"])
 
     return run
 
@@ -229,7 +231,11 @@ def _open_pairs(same_of_100: int):
         n, root, c, apart, sketch = (part[k] for k in ("n", "root", "class", "apart", "sketch"))
         nx, ny = n[x][:, None], n[y]
         can = (root[x][:, None] != root[y]) & (np.minimum(nx, ny) >= share * np.maximum(nx, ny) - 1e-6)
-        can &= np.abs(apart[x][:, None] - apart[y]) <= (1 - share) / (1 + share) * (nx + ny) + 1e-6
+        room = (1 - share) / (1 + share) * (nx + ny) + 1e-6
+        can &= np.abs(apart[x][:, None] - apart[y]) <= room
+        if not part["lacking"][0]:  # an element of the hub: pairs that need to share others too meet there
+            a, r = part["added"], apart - part["added"]
+            can &= a[x][:, None] + a[y] + np.abs(r[x][:, None] - r[y]) <= room
         if part["i"][0] == part["j"][0]:
             can &= c[x][:, None] < c[y]
         p, q = np.nonzero(can)
@@ -251,7 +257,7 @@ def _open_pairs(same_of_100: int):
     def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if table is None or not table.num_rows:
             return
-        part = {n: table.column(n).to_numpy() for n in ("place", "i", "j", "mine", "class", "root", "n", "apart")}
+        part = {n: table.column(n).to_numpy(zero_copy_only=False) for n in ("place", "i", "j", "mine", "class", "root", "n", "apart", "added", "lacking")}
         part["sketch"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
         new = np.flatnonzero((np.diff(part["place"]) != 0) | (np.diff(part["i"]) != 0) | (np.diff(part["j"]) != 0)) + 1
         for a, b in zip([0, *new.tolist()], [*new.tolist(), table.num_rows]):
@@ -275,13 +281,14 @@ def unsettled(links: DataFrame, classes: DataFrame, groups: DataFrame, same_of_1
     root_of = groups.select("class", "root")
     named = links.join(root_of, "class", "left").withColumn("root", F.coalesce("root", "class"))
     open_ = named.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("hub")
-    met = named.join(open_, "hub", "left_semi").select(F.explode(F.array_distinct("head")).alias("element"), "hub", "class", "root", "apart")
-    met = met.select(F.xxhash64("hub", "element").alias("place"), "class", "root", "apart")
+    met = named.join(open_, "hub", "left_semi").select(F.posexplode("head").alias("at", "element"), "hub", "class", "root", "apart", "added")
+    lacking = (F.col("at") < F.col("added")).alias("lacking")
+    met = met.select(F.xxhash64("hub", "element", lacking).alias("place"), "class", "root", "apart", "added", lacking).dropDuplicates(["place", "class"])
     split = met.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).filter("low < high")
     split = split.select("place", F.ceil(F.col("members") / BLOCK_OF).cast("int").alias("blocks"))
     rows = met.join(split, "place").join(classes.select("class", F.col("n_shingles").alias("n"), "sketch"), "class")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("place", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "root", "n", "apart", "sketch")
+    rows = rows.select("place", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "root", "n", "apart", "added", "lacking", "sketch")
     rows = rows.repartition("place", "i", "j").sortWithinPartitions("place", "i", "j")
     return rows.mapInArrow(_open_pairs(same_of_100), "class long, hub long").distinct()
 
