@@ -116,6 +116,14 @@ def test_signatures_estimate_likeness():
     assert (signature[:2] >> 48).max() < 20
 
 
+def test_large_sets_are_ranked_in_pieces(monkeypatch):
+    r = np.random.default_rng(4)
+    elements, sizes = r.integers(0, 1 << 63, 700).astype(np.uint64), np.array([1, 500, 3, 196])
+    whole = near.signatures(elements, sizes, 64)
+    monkeypatch.setattr(near, "PIECE", 50)
+    assert (near.signatures(elements, sizes, 64) == whole).all()
+
+
 def test_bands_miss_little():
     for same in (80, 85, 95):
         assert (1 - (same / 100) ** near.ROWS) ** near.bands_for(same) <= near.MISSED

@@ -24,11 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm.shared import LOWER, in_blocks, text_bytes
+from tickerloom.llm.shared import kept as remembered
 
 ORDER = 4
 CELLS, PER_CELL = 16, 24
 UNKNOWN = "und"
-REMEMBERED, REMEMBERED_BYTES = 500_000, 32 << 20
+REMEMBERED, REMEMBERED_BYTES = 400_000, 32 << 20
 LETTER = re.compile(r"[^\W\d_]")
 GRAMS = "lang string, gram binary, n long"
 FOUND = "struct<lang:string,score:double,bits_per_byte:double>"
@@ -160,15 +161,9 @@ class Remembered:
         self.held += int(ends[-1])
 
 
-_memory: dict[str, Remembered] = {}
-
-
 def memory_of(trees: Trees) -> Remembered:
     """What a worker remembers for these trees, across its tasks."""
-    if trees.name not in _memory:
-        _memory.clear()
-        _memory[trees.name] = Remembered(trees.word_bits, len(trees.langs))
-    return _memory[trees.name]
+    return remembered(("language", trees.name), lambda: Remembered(trees.word_bits, len(trees.langs)))
 
 
 def _predict(trees: Trees, kept: list[str]):

@@ -26,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.shared import LOWER, in_blocks, mixed, ranges, stored, text_bytes, texts_of
+from tickerloom.llm.shared import LOWER, forget, in_blocks, mixed, ranges, stored, text_bytes, texts_of
 
 WORDS, SAME_OF_100 = 5, 80
 ROWS = 7  # registers of a band
 MISSED = 1e-6
 SKETCH = 64  # registers of which a byte each is kept
 BLOCK_OF = 256
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+PIECE = 1 << 15  # elements of a set that are ranked together; a register is the least over all pieces
 SIGNED = "doc_id long, mark long, class long, n_shingles long, bands array<long>, sketch binary"
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -109,10 +110,22 @@ def super_min_hash(elements: np.ndarray, starts: np.ndarray, m: int) -> np.ndarr
     return out
 
 
+def signatures(elements: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
+    """Signatures of sets that follow each other; large ones are ranked in pieces."""
+    pieces = -(-sizes // PIECE)
+    of, k = np.repeat(np.arange(len(sizes)), pieces), ranges(pieces)
+    parts = np.minimum(PIECE, sizes[of] - k * PIECE)
+    ends, out = np.concatenate([[0], np.cumsum(parts)]), []
+    for a, b in in_blocks(ends, 2 * PIECE):
+        out.append(super_min_hash(elements[ends[a] : ends[b]], ends[a : b + 1] - ends[a], m))
+    return np.minimum.reduceat(np.concatenate(out), np.cumsum(pieces) - pieces, axis=0)
+
+
 def _sign(k: int, bands: int, rows: int):
     m = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             data, starts = text_bytes(batch.column(2))
             for a, b in in_blocks(starts, BLOCK_BYTES):
@@ -126,7 +139,7 @@ def _sign(k: int, bands: int, rows: int):
                     _, first, again = np.unique(classes[full], return_index=True, return_inverse=True)
                     chosen = full[first]
                     at = np.repeat(ends[:-1][chosen], sizes[chosen]) + ranges(sizes[chosen])
-                    signature = super_min_hash(sets[at], np.concatenate([[0], np.cumsum(sizes[chosen])]), m)
+                    signature = signatures(sets[at], sizes[chosen], m)
                     own = np.zeros((len(chosen), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
                     for r in range(rows):
                         own = mixed(own * _FACTOR + signature[:, r::rows].astype(np.uint64))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _own_folder: dict[str, str] = {}
+_kept: dict = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,6 +56,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[ends[0] : ends[-1]], ends - ends[0]
 
 
+def kept(name, build):
+    """What a worker remembers between its tasks: one thing at a time, so that memories of different operators do not add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = build()
+    return _kept[name]
+
+
+def forget() -> None:
+    _kept.clear()
+
+
 def in_blocks(starts: np.ndarray, most: int):
     """Slices of rows whose texts have about ``most`` bytes together; a longer text is a block of its own."""
     row, n = 0, len(starts) - 1

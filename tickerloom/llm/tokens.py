@@ -9,15 +9,14 @@ library gives for the whole text.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
-from tickerloom.llm.shared import ranges
+from tickerloom.llm.shared import kept, ranges
 
 END_ID = 1
-REMEMBERED = 1_000_000  # pieces a Python worker holds at most
+REMEMBERED = 900_000  # pieces a Python worker holds at most
 
 
 def vocabulary(name: str) -> str:
@@ -27,10 +26,9 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> "Encoder":
-    """One encoder for each vocabulary and Python worker; workers serve many tasks."""
-    return Encoder(path)
+    """A worker's encoder, which serves many tasks."""
+    return kept(("tokens", path), lambda: Encoder(path))
 
 
 class Encoder:
