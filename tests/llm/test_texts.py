@@ -143,7 +143,7 @@ def test_language(spark, prose):
         lang = "xy"[i % 2]
         text = prose(i, 30).translate(str.maketrans("abcdefgh", kinds[lang] * 2))
         rows.append((i, text, lang if i % 5 else None, 1))
-    rows += [(200, None, "x", 1), (201, "", "x", 1), (202, "12 ?!", "x", 1), (203, "abcd", None, 1), (203, "efgh", None, 1), (None, "abcd abcd", None, 1)]
+    rows += [(200, None, "x", 1), (201, "", "x", 1), (202, "12 ?! ²", "x", 1), (203, "abcd", None, 1), (203, "efgh", None, 1), (None, "abcd abcd", None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, predicted int")
     got = language.identify(docs).collect()
     assert len(got) == len(rows)

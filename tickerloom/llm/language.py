@@ -36,6 +36,11 @@ FOUND = "struct<lang:string,score:double,bits_per_byte:double>"
 _FOUND = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
 
+def has_letter(text: str) -> bool:
+    first = LETTER.search(text)  # also finds signs like superscript digits, so these are looked at closely
+    return first is not None and (first.group().isalpha() or any(map(str.isalpha, text)))
+
+
 def held_out(doc_id: Column, parts: int = 4, which: int = 2) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts)) == which
 
@@ -182,7 +187,7 @@ def _predict(trees: Trees, kept: list[str]):
                     full = np.flatnonzero(counts)
                     bits[full] = np.add.reduceat(own, (np.cumsum(counts) - counts)[full], axis=0, dtype=np.float64)
                 for i in range(a, b):
-                    if not trees.langs or not LETTER.search(body[starts[i] : starts[i + 1]].decode()):
+                    if not trees.langs or not has_letter(body[starts[i] : starts[i + 1]].decode()):
                         found.append({"lang": UNKNOWN, "score": 0.0, "bits_per_byte": None})
                         continue
                     own = bits[i - a]
