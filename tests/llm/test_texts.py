@@ -79,6 +79,18 @@ def test_secrets(docs):
     assert secrets.secret_spans(docs([])).collect() == []
 
 
+def test_secrets_of_one_case(docs):
+    """Random letters of one case are found, names are not, and long runs take linear time."""
+    keys = ["GEZDGNBVGY3TQOJQGEZDGNBVGY3TQOJQ", "qzjxkvwpbnmtrlqxhgzvkdpwqjxnbtrm", "QZJXKVWPBNMTRLQXHGZVKDPWQJXNBTRM", "qzjx-kvwp-bnmt-rlqx-hgzv-kdpw"]
+    names = ["MAXIMUM_CONNECTION_TIMEOUT_SECONDS", "HTTP_REQUEST_ID_MAX_LEN", "getHttpUrlById2_asXml", "the-name-of-the-page-in-the-list-2024"]
+    endless = ["ab" * 40 + "12345", "some-long-name-of-a-page-about-nothing-in-particular-at-all-1234567", "qx" * 5000 + "12345"]
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(docs(list(enumerate(keys + names + endless)))).collect()}
+    for i, key in enumerate(keys):
+        assert [(s.kind, s.start, s.end) for s in got[i]] == [("random", 0, len(key))]
+    assert all(got[len(keys) + i] == [] for i in range(len(names)))
+    assert [(s.kind, s.end) for s in got[len(keys + names) + 2]] == [("random", 10005)]
+
+
 def test_licenses(docs, prose):
     mit = next(t for label, t in licenses.TEMPLATES if label == "mit")
     rows = [

@@ -2,8 +2,8 @@
 
 Text and code come out of a byte-pair vocabulary at several characters a token, random strings at fewer than two. A long run
 without blanks is a finding if its characters per token under a tiktoken vocabulary stay below a limit, after known digests, UUIDs,
-numbers and identifiers (words joined by case, hyphens, underscores or slashes) are excluded, and where no fixed form
-already covers it.
+numbers and identifiers (words joined by case, hyphens, underscores or slashes, each of them at the limit or above by itself) are excluded, and
+where no fixed form already covers it.
 
 Spans are code points, end exclusive. Null or empty text has no spans. Every row gives a row, repeated ones too; an empty table
 gives an empty result. A text is looked at whole; only the texts of one Arrow batch are in memory.
@@ -43,7 +43,9 @@ CHARS_PER_TOKEN = 2.0
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 NUMBER = re.compile(r"[-+/_=0-9]+")
-IDENTIFIER = re.compile(r"[-+/_=]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})[0-9]{0,4}[-+/_=]*)+")
+# a piece is all letters up to a change of case, a digit or a sign: each letter belongs to one piece only, so cutting takes linear time
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]|[0-9]+")
+LEAST_PIECE, MOST_DIGITS = 2, 4
 
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long,chars_per_token:double>>"
 
@@ -65,16 +67,30 @@ def fixed_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def is_identifier(run: str, counter, limit: float) -> bool:
+    """All pieces are words that the vocabulary writes well, as they stand or in lower case behind a space, or short numbers behind a word."""
+    pieces = PIECE.findall(run)
+    if not pieces or not pieces[0].isalpha():
+        return False
+    for p in pieces:
+        if p.isdigit():
+            if len(p) > MOST_DIGITS:
+                return False
+        elif len(p) < LEAST_PIECE or len(p) / min(counter(p), counter(" " + p.lower())) < limit:
+            return False
+    return True
+
+
 def random_spans(text: str, covered: list[tuple[str, int, int]], counter, limit: float) -> list[tuple[str, int, int, float]]:
     found = []
     for m in RUN.finditer(text):
         run = m.group()
-        if DIGEST.fullmatch(run) or UUID.fullmatch(run) or NUMBER.fullmatch(run) or IDENTIFIER.fullmatch(run):
+        if DIGEST.fullmatch(run) or UUID.fullmatch(run) or NUMBER.fullmatch(run):
             continue
         if any(a < m.end() and m.start() < b for _, a, b in covered):
             continue
         ratio = len(run) / max(1, counter(run))
-        if ratio < limit:
+        if ratio < limit and not is_identifier(run, counter, limit):
             found.append(("random", m.start(), m.end(), ratio))
     return found
 
