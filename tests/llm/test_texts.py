@@ -114,6 +114,22 @@ def test_licenses(docs, prose):
     assert licenses.license_scan(docs([])).collect() == []
 
 
+def test_licenses_among_fragments(docs, prose):
+    """Fragments of a template around a whole copy do not hide it, and a run that is repeated counts once."""
+    passage = dict(licenses.TEMPLATES)["all-rights-reserved"]
+    notice = "Copyright (c) 2019 Foo Inc. All rights reserved. "
+    bsd = next(t for label, t in licenses.TEMPLATES if label == "bsd")
+    rows = [
+        (1, notice * 3 + passage), (2, passage + " " + notice * 3), (3, notice * 12), (4, " ".join(bsd.split()[:4]) + " " + bsd + " " + " ".join(bsd.split()[-5:]) * 2),
+        (5, " ".join(bsd.split()[:7] * 6)), (6, prose(1, 9) + " " + bsd.replace("source", "source one two three four five six").replace("permitted", "a b c d e f permitted")), (7, passage + " " + passage),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(docs(rows)).collect()}
+    assert got[1] == got[2] == got[7] == ("all-rights-reserved", 1.0) and got[3] == got[5] == ("", 0.0)
+    assert got[4] == ("bsd", 1.0) and got[6][0] == "bsd" and got[6][1] < 1
+    copies = [r for r in licenses.license_spans(docs(rows)).filter("doc_id = 7 and template >= 0").collect()]
+    assert sorted((r["first"], r["last"]) for r in copies) == [(0, 10), (11, 21)]
+
+
 def code_length(word, counts, order):
     """Bits of a word and its end by the definition, byte by byte."""
     word, bits = b" " + word + b" ", 0.0

@@ -2,8 +2,9 @@
 
 Every document gives the hashes of all its runs of k words, one row each. They are joined to the runs of the templates; a match is a vote
 for the diagonal (place in the document minus place in the template). Votes are added up by document, template and diagonal;
-neighbouring diagonals of a template are merged, which bridges a few words put in or left out; a span is verified
-by the share of the template's runs it holds and, for fixed phrases, by every run of the phrase on one diagonal.
+diagonals of a template that lie within ``SPREAD`` are taken together, which bridges a few words put in or left out; a span is verified
+by the share of the template's different runs it holds and, for fixed phrases, by every run of the phrase on one diagonal. Of
+spans on neighbouring diagonals the best one counts, so fragments before or after a copy do not hide it.
 
 The templates are a fixed short list, so their runs are broadcast. Votes are added up before they are shuffled; a document is at most one group of its own matches.
 Null text is empty and has no words. Rows with one doc_id are told apart by their place in the input. An empty table gives an empty result.
@@ -11,11 +12,14 @@ Null text is empty and has no words. Rows with one doc_id are told apart by thei
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K = 3  # words in a run; the shortest phrase has as many
 DRIFT = 8  # diagonals this far apart can be one copy of a template
+SPREAD = 2 * DRIFT + 1  # of all diagonals of one copy
 LEAST_SHARE = 0.6  # of a template's runs
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -39,6 +43,8 @@ TEMPLATES = [
     ("cc0", "has waived all copyright and related or neighboring rights to this work"),
     ("all-rights-reserved", "All rights reserved. No part of this publication may be reproduced"),
 ]
+MASK = 63  # places of a template told apart by one number
+N_MASKS = 1 + max(len(re.findall(WORD, t.lower())) for t in [*PHRASES, *(t for _, t in TEMPLATES)]) // MASK
 END = 0  # key of the row that every document has besides its runs
 
 
@@ -63,7 +69,7 @@ def template_runs(spark: SparkSession) -> DataFrame:
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """row, doc_id, template, diagonal: votes, first and last place; and for each document one row of template -1 whose diagonal is its number of words."""
+    """row, doc_id, template, diagonal: votes, first and last place, and the voting places of the template as bits; and for each document one row of template -1 whose diagonal is its number of words."""
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.coalesce(F.col("text"), F.lit(""))).alias("own"))
     # the number of words follows the runs as a key of its own, so that documents are read once
     keyed = own.select("row", "doc_id", F.size("own").alias("n_words"), F.posexplode(F.concat(run_hashes(F.col("own")), F.array(F.lit(END).cast("long")))).alias("place", "key"))
@@ -75,31 +81,34 @@ def votes(docs: DataFrame) -> DataFrame:
     return (
         found.select("row", "doc_id", "template", (place - F.col("at")).alias("diagonal"), "place", "at")
         .groupBy("row", "doc_id", "template", "diagonal")
-        .agg(F.count("*").alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+        .agg(F.count("*").alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"), *[F.bit_or(F.expr(f"IF(at DIV {MASK} = {k}, shiftleft(1L, at % {MASK}), 0L)")).alias(f"at_{k}") for k in range(N_MASKS)])
     )
 
 
 def license_spans(docs: DataFrame) -> DataFrame:
     """row, doc_id, template, label, fixed, first, last (words), share of the template; and the rows of template -1 with the number of words as ``first``.
 
-    A fixed phrase stands where all its runs vote for one diagonal; several votes of one run on a diagonal cannot be, so
-    as many votes as runs prove it.
+    A fixed phrase stands where all its runs vote for one diagonal.
     """
     spark = docs.sparkSession
     known = template_runs(spark).select("template", "label", "fixed", "n_runs").distinct()
     known = known.unionByName(spark.range(1).select(F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(True).alias("fixed"), F.lit(1).alias("n_runs")))
     cast = votes(docs).join(F.broadcast(known), "template")
-    by_place = Window.partitionBy("row", "doc_id", "template").orderBy("diagonal", "first")
+    by_place = Window.partitionBy("row", "doc_id", "template").orderBy("diagonal")
     apart = F.col("fixed") | (F.col("diagonal") - F.lag("diagonal").over(by_place) > DRIFT)
     chained = cast.withColumn("chain", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(by_place))
-    spans = chained.groupBy("row", "doc_id", "template", "label", "fixed", "n_runs", "chain").agg(
-        F.sum("votes").alias("votes"), F.min("first").alias("begin"), F.max("last").alias("end"), F.min("diagonal").alias("diagonal")
-    )
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("n_runs"))
+    in_chain = Window.partitionBy("row", "doc_id", "template", "chain").orderBy("diagonal")
+    # from each diagonal on, what the next ones hold of the template; a fixed phrase is a chain of its own
+    copy = in_chain.rangeBetween(0, SPREAD)
+    held = sum((F.bit_count(F.bit_or(f"at_{k}").over(copy)) for k in range(N_MASKS)), F.lit(0))
+    begin, end = F.min("first").over(copy), F.max("last").over(copy)
+    spans = chained.select("row", "doc_id", "template", "label", "fixed", "chain", "diagonal", begin.alias("begin"), end.alias("end"), (held / F.col("n_runs")).alias("share"))
+    own = F.struct("share", F.col("begin") - F.col("end"), -F.col("diagonal"))
+    best = F.max(own).over(in_chain.rangeBetween(-SPREAD, SPREAD)) == own
     first = F.when(F.col("template") < 0, F.col("diagonal")).otherwise(F.col("begin"))
-    spans = spans.select("row", "doc_id", "template", "label", "fixed", "n_runs", first.alias("first"), (F.col("end") + K - 1).alias("last"), share.alias("share"))
-    whole = (F.col("share") >= LEAST_SHARE) & (F.col("last") - F.col("first") < F.col("n_runs") + K + 2 * DRIFT)
-    return spans.filter(F.when(F.col("fixed"), F.col("share") == 1).otherwise(whole)).drop("n_runs")
+    spans = spans.withColumn("best", best).filter("best")
+    spans = spans.select("row", "doc_id", "template", "label", "fixed", first.alias("first"), (F.col("end") + K - 1).alias("last"), "share")
+    return spans.filter(F.when(F.col("fixed"), F.col("share") == 1).otherwise(F.col("share") >= LEAST_SHARE))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
