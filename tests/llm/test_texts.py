@@ -229,3 +229,49 @@ def test_bits_are_a_distribution():
     which, row = memory.of(text * 2), np.repeat([0, 1], len(text))
     both = mixing.code_lengths(memory, which, row, 2)
     assert both[0] == pytest.approx(both[1]) and both[0] == pytest.approx(mixing.code_lengths(memory, which[: len(text)], row[: len(text)], 1)[0])
+
+
+def test_contexts_cross_words_and_weights_move():
+    """Words cost less behind those they follow in training, and the weights of a text adapt to it."""
+    import numpy as np
+
+    coder = mixing.Coder(np.ones(257, np.int64))
+    whole = lambda t: (np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+    gram, prefix, _ = coder.places(*whole(b"ab cd " * 50))
+    gram, prefix = gram.copy(), prefix.copy()
+    batch = mixing.pa.RecordBatch.from_arrays([gram.view(np.int64), prefix.view(np.int64), np.ones(len(gram), np.int64)], ["gram", "prefix", "n"])
+    found = mixing.pa.Table.from_batches(list(mixing._count_bits(coder)([batch]))).to_pydict()
+    table, key = np.array(found["table"]), np.array(found["key"]).view(np.uint64)
+    keys = [np.sort(key[table == t]) for t in range(5)]
+    odds = [np.log((np.array(found["one"]) + 0.4) / (np.array(found["zero"]) + 0.4))[table == t][np.argsort(key[table == t])] for t in range(5)]
+    model = mixing.Model(coder, odds, np.full((mixing.GATES, 5), 0.3, np.float32), "m", keys)
+    right, wrong = (float(mixing.text_bits(model, *whole(t))[0]) for t in (b"ab cd ab cd ab cd", b"ab ab cd cd ab cd"))
+    assert wrong > right + 4
+    text = b"ab cd " * 400
+    still = float(np.logaddexp(0, -model.word_odds([text])[0].astype(float)).sum() / np.log(2))
+    assert float(mixing.text_bits(model, *whole(text))[0]) < 0.9 * still
+
+
+def test_contexts_are_counted_apart(spark, docs, prose):
+    """Every distinct context has counts of its own, however many there are, and rare words count in the fit as often as they stand."""
+    from collections import defaultdict
+
+    import numpy as np
+
+    texts = [prose(i, 60, 5000) for i in range(40)]
+    coder = mixing.Coder(np.ones(257, np.int64))
+    frame = docs(list(enumerate(texts)))
+    places = frame.select("text").mapInArrow(mixing._count_places(coder), mixing.PLACES).groupBy("gram", "prefix").sum("n").withColumnRenamed("sum(n)", "n")
+    tables = mixing.counted_tables(places, coder)
+    want = [defaultdict(lambda: [0, 0]) for _ in range(5)]
+    for t in texts:
+        body = t.encode()
+        for i in range(len(body) + 1):
+            s = body[i] if i < len(body) else 256
+            contexts = [body[max(0, i - k) : i] for k in range(1, 5)] + [body[body.rfind(b" ", 0, i) + 1 : i]]
+            for j in range(int(coder.length[s])):
+                for own, c in zip(want, contexts):
+                    own[c, int(coder.nodes[s, j])][int(coder.bits[s, j])] += 1
+    for own, keys, zero, one in zip(want, tables.keys, tables.zero, tables.one):
+        assert len(keys) == len(set(keys.tolist())) == len(own)
+        assert sorted(map(tuple, own.values())) == sorted(zip(zero.astype(int).tolist(), one.astype(int).tolist()))
