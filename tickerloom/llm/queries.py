@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import exact, language, leaks, licenses, mixing, near, packing, records, repeats, secrets
+from tickerloom.llm import exact, language, leaks, licenses, mixing, near, packing, pieces, records, repeats, secrets
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -110,3 +110,8 @@ def op1_repeated_bytes(spark, sf_dir):
 @query("op7_lm_score")
 def op7_lm_score(spark, sf_dir):
     return mixing.score(documents(spark, sf_dir))
+
+
+@query("op13_pieces")
+def op13_pieces(spark, sf_dir):
+    return pieces.digests(pieces.decode(pieces.encode(documents(spark, sf_dir))))
