@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import exact, language, leaks, licenses, mixing, near, packing, pieces, records, repeats, search, secrets
+from tickerloom.llm import exact, language, leaks, licenses, mixing, near, packing, pieces, records, repeats, search, secrets, turns
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -135,3 +135,36 @@ SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50""",
 )
 def op11_lexical_search(spark, sf_dir):
     return search.search(search.build_index(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query(
+    "op12_prefix_trie",
+    r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS p
+           FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT conv_id, p, sha256(length(role) || ':' || role || text) AS g, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+             xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+                 lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)),
+l AS (SELECT c.conv_id, c.h, count(v.p) AS k FROM c LEFT JOIN v ON v.conv_id = c.base AND v.p <= c.h GROUP BY ALL),
+r AS (SELECT c.conv_id, v.p AS d, g, w FROM c JOIN v ON v.conv_id = c.base AND v.p <= c.h
+      UNION ALL SELECT l.conv_id, v.p - h + k, g, w FROM l JOIN v ON v.conv_id = l.conv_id AND v.p > h),
+m AS (SELECT conv_id, d, sha256(string_agg(g, '') OVER (PARTITION BY conv_id ORDER BY d)) AS x, w FROM r
+      UNION ALL SELECT conv_id, 0, 'root', 0 FROM c),
+u AS (SELECT m.*, lag(x) OVER (PARTITION BY conv_id ORDER BY d) AS px, d = max(d) OVER (PARTITION BY conv_id) AS final FROM m),
+n AS (SELECT d, x, any_value(px) AS px, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (final), '')) AS e FROM u GROUP BY d, x),
+k AS (SELECT px AS x, count(*) AS k FROM n GROUP BY px),
+o AS (SELECT n.*, coalesce(k, 0) AS k FROM n LEFT JOIN k USING (x)),
+a AS (SELECT u.conv_id, u.d, u.x, CAST(sum(CASE WHEN o.conv_id = u.conv_id AND k = 0 THEN 1 ELSE 0 END) OVER s AS BIGINT) AS leaves,
+             CAST(sum(CASE WHEN o.conv_id = u.conv_id THEN (n - 1) * o.w ELSE 0 END) OVER s AS BIGINT) AS saved
+      FROM u JOIN o USING (d, x) WINDOW s AS (PARTITION BY u.conv_id ORDER BY u.d DESC)),
+b AS (SELECT d, x, CAST(sum(leaves) AS BIGINT) AS leaves, CAST(sum(saved) AS BIGINT) AS saved FROM a GROUP BY d, x)
+SELECT o.conv_id, CAST(o.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, CAST(o.n AS BIGINT) AS n_convs, CAST(o.k AS BIGINT) AS n_children,
+       leaves AS n_leaves, saved AS saved_tokens, o.e AS ends_sha256
+FROM o JOIN b USING (d, x) LEFT JOIN n parent ON parent.x = o.px""",
+)
+def op12_prefix_trie(spark, sf_dir):
+    return turns.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
