@@ -30,7 +30,7 @@ from tickerloom.llm.shared import LOWER, in_blocks, ranges, stored, text_bytes,
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 15
+SHARD_BYTES, SHARD_DOCS = 8 << 20, 1 << 15
 BITS = 6  # a block holds 2**BITS numbers of documents
 ITEM_TERMS = 100_000
 ROWS_AT_ONCE = 50_000
@@ -115,19 +115,19 @@ def _counted(batches):
         starts = text_bytes(batch.column("text"))[1]
         for a, b in in_blocks(starts, SHARD_BYTES):
             data, own = text_bytes(batch.column("text").slice(a, b - a))
-            begins = _term_starts(_in_term[data], own)
-            n = np.diff(np.concatenate([[0], np.cumsum(begins)])[own])
+            n = np.diff(np.searchsorted(_terms(_in_term[data], own)[0], own))
             docs, terms = docs + int((n > 0).sum()), terms + int(n.sum())
         yield pa.RecordBatch.from_pydict({"docs": [docs], "terms": [terms]})
 
 
-def _term_starts(inside: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where terms begin; none goes on from one text into the next."""
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    edge = starts[:-1][starts[:-1] < len(inside)]
-    begins[edge] = inside[edge]
-    return begins
+def _terms(inside: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where terms begin and end; none goes on from one text into the next."""
+    edge = np.zeros(len(inside) + 1, bool)  # between two bytes: something begins or ends
+    edge[1:-1] = inside[1:] != inside[:-1]
+    edge[starts] = True
+    edge = np.flatnonzero(edge)
+    held = inside[np.minimum(edge[:-1], len(inside) - 1)] if len(inside) else np.zeros(0, bool)
+    return edge[:-1][held], edge[1:][held]
 
 
 def _shard(shard: int, parts: list[pa.RecordBatch], n_docs: int, n_terms: int):
@@ -143,16 +143,16 @@ def _shard(shard: int, parts: list[pa.RecordBatch], n_docs: int, n_terms: int):
     number[order] = np.arange(len(ids))
     data, starts = text_bytes(rows.column("text"))
     inside = _in_term[data]
-    at = np.flatnonzero(_term_starts(inside, starts))
-    seen = np.concatenate([[0], np.cumsum(inside)])
-    begins = seen[at]
+    at, ends = _terms(inside, starts)
     doc = number[np.searchsorted(starts, at, "right") - 1]
     n = np.bincount(doc, minlength=len(ids))
     m = 50 + (50 * n * n_docs) // n_terms
     if len(at):
-        words = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(begins, seen[-1]).astype(np.int32)), pa.py_buffer(_lower[data[inside]]))
-        coded = words.dictionary_encode()
-        key = np.sort(coded.indices.to_numpy().astype(np.int64) * len(ids) + doc)
+        offsets = np.concatenate([[0], np.cumsum(ends - at)]).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(_lower[data[inside]])).dictionary_encode()
+        key = coded.indices.to_numpy() * np.int64(len(ids)) + doc
+        del at, ends, doc, offsets, inside, data, rows, parts
+        key.sort()
         first = np.flatnonzero(np.diff(key, prepend=-1))
         counts = np.diff(first, append=len(key))
         term, doc = key[first] // len(ids), key[first] % len(ids)
