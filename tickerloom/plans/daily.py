@@ -74,7 +74,7 @@ def select_portfolio(wh: Warehouse, as_of: dt.date, origin: str | None = None, s
         raise EmptySelection("no company passed the quality filter")
     if origin is not None:
         rows = portfolio.portfolio_rows(chosen, prices, origin)
-        wh.rewrite("fact_cartera_seleccionada", merge.save_portfolio(wh.read("fact_cartera_seleccionada"), rows))
+        wh.update("fact_cartera_seleccionada", lambda saved: merge.save_portfolio(saved, rows))
     return chosen
 
 

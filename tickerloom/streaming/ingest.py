@@ -28,10 +28,10 @@ def file_stream(spark: SparkSession, path: str, schema: str, file_format: str =
 def upsert_stream(
     stream: DataFrame, warehouse: Warehouse, table: str, checkpoint: str, how: Callable[..., DataFrame] = merge.upsert_overwrite
 ) -> StreamingQuery:
-    """Merge every micro-batch into a table by key; a replayed batch merges to the same state."""
+    """Merge every micro-batch into a table by key, each exactly once: its number is committed with its rows under the checkpoint's name."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        warehouse.upsert(table, batch, how)
+    def write(batch: DataFrame, number: int) -> None:
+        warehouse.upsert(table, batch, how, stream=(checkpoint, number))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
