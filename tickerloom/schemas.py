@@ -142,6 +142,11 @@ TABLES: dict[str, Table] = {
             "script string, inicio timestamp, fin timestamp, estado string, filas_afectadas int, error_detalle string",
             (),
         ),
+        Table(
+            "archivos_cargados",
+            "carga string, ruta string, bytes bigint, modificado timestamp, filas bigint, cargado timestamp",
+            ("carga", "ruta", "bytes", "modificado"),
+        ),
         Table(
             "silver_calidad_datos",
             "ticker_usd string, regla string, severidad string, detalle string, fecha_evaluacion date",

@@ -70,8 +70,10 @@ NEWS_SCHEMA = "title string, link string, pubDate string, source struct<_VALUE:s
 
 
 def file_stem() -> Column:
-    """Name of the file a row came from, without folder and extension."""
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[A-Za-z]+$", 1)
+    """What a file is about: the value of the folder it was exported to (``key=value``), else its name without extension."""
+    path = F.col("_metadata.file_path")
+    folder = F.regexp_extract(path, r"/[^/=]+=([^/]+)/[^/]+$", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_extract(path, r"([^/]+)\.[A-Za-z]+$", 1))
 
 
 def utc_date(text: Column) -> Column:
@@ -82,9 +84,13 @@ def utc_date(text: Column) -> Column:
 # -- prices and series -------------------------------------------------------
 
 
-def read_price_files(spark: SparkSession, path: str) -> DataFrame:
-    """Price CSVs, one per symbol: raw columns plus ``simbolo`` from the file name."""
-    return spark.read.schema(PRICE_SCHEMA).option("header", True).csv(path).withColumn("simbolo", file_stem())
+def _csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("recursiveFileLookup", "true").csv(path)
+
+
+def read_price_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Price CSVs, one file or folder per symbol: raw columns plus ``simbolo``."""
+    return _csv(spark, path, PRICE_SCHEMA).withColumn("simbolo", file_stem())
 
 
 def price_rows(raw: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -108,8 +114,8 @@ def adr_price_rows(raw: DataFrame, pairs: DataFrame) -> DataFrame:
     return conform(rows, "fact_precios_adr")
 
 
-def read_series_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SERIES_SCHEMA).option("header", True).csv(path).withColumn("serie", file_stem())
+def read_series_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return _csv(spark, path, SERIES_SCHEMA).withColumn("serie", file_stem())
 
 
 def series_rows(raw: DataFrame) -> DataFrame:
@@ -243,8 +249,8 @@ def mail_time(text: Column) -> Column:
 
 
 def read_news_files(spark: SparkSession, path: str) -> DataFrame:
-    """RSS files, one per ticker: raw items with ``ticker_usd`` and their place in the feed."""
-    items = spark.read.format("xml").option("rowTag", "item").schema(NEWS_SCHEMA).load(path)
+    """RSS files, one file or folder per ticker: raw items with ``ticker_usd`` and their place in the feed."""
+    items = spark.read.format("xml").option("rowTag", "item").option("recursiveFileLookup", "true").schema(NEWS_SCHEMA).load(path)
     # pieces of one file follow each other by where they begin, whatever partition they came in
     piece = Window.partitionBy("ticker_usd").orderBy("_file", "_block", "_row")
     placed = items.select("*", file_stem().alias("ticker_usd"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))

@@ -18,7 +18,8 @@ def publish_table(df: DataFrame, name: str) -> None:
 
 def export_csv(df: DataFrame, path: str, key: str | None = None) -> None:
     """CSV with a header; with ``key`` one folder per key (one price file set per symbol)."""
-    writer = df.write.mode("overwrite").option("header", True)
+    # a key's rows go to few files, and a very frequent key to several tasks
+    writer = (df.hint("rebalance", key) if key else df).write.mode("overwrite").option("header", True)
     (writer.partitionBy(key) if key else writer).csv(path)
 
 

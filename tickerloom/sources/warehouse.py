@@ -95,7 +95,9 @@ class Warehouse:
         if crowded:
             self._change_years(table, crowded, lambda stored: stored)
 
-    def _change_years(self, table: str, years: list[int], how: Callable[[DataFrame], DataFrame], stream: tuple[str, int] | None = None) -> None:
+    def _change_years(
+        self, table: str, years: list[int], how: Callable[[DataFrame], DataFrame], stream: tuple[str, int] | None = None, alongside: tuple[str, DataFrame] | None = None
+    ) -> None:
         def change(now: Snapshot) -> Edit | None:
             if stream and now.batches.get(stream[0], -1) >= stream[1]:
                 return None
@@ -103,26 +105,27 @@ class Warehouse:
             parts = self._write(table, how(stored))
             return Edit(
                 by_year={(table, y): [p for p in parts if p.year == y] for y in {*years, *(p.year for p in parts)}},
-                batches=dict([stream]) if stream else {}, reads={(table, y) for y in years},
+                added={alongside[0]: self._write(*alongside)} if alongside else {}, batches=dict([stream]) if stream else {}, reads={(table, y) for y in years},
             )
 
         self.manifest.commit(change)
 
     def upsert(
-        self, table: str, batch: DataFrame, how: Callable[..., DataFrame] = merge.upsert_overwrite, stream: tuple[str, int] | None = None, **options
+        self, table: str, batch: DataFrame, how: Callable[..., DataFrame] = merge.upsert_overwrite, stream: tuple[str, int] | None = None,
+        alongside: tuple[str, DataFrame] | None = None, **options,
     ) -> None:
         """Merge a batch by the table's key with ``how`` (``merge.upsert_overwrite``, ``upsert_coalesce``, ...).
 
         ``stream`` is a stream's name and the number of its batch: a batch that was committed before changes nothing, so a replay is harmless
-        for any ``how``, and the number is committed together with the rows.
+        for any ``how``, and the number is committed together with the rows. ``alongside`` is a table and rows appended to it in the same commit.
         """
         spec, batch = TABLES[table], conform_present(batch, table)
         years = [0]
         if spec.date_column:
             found = batch.select(F.coalesce(F.year(spec.date_column), F.lit(0)).alias(YEAR)).distinct().collect()  # one small integer per calendar year
             years = sorted(r[0] for r in found)
-        if years or stream:
-            self._change_years(table, years, lambda stored: how(stored, batch, spec.key, **options), stream)
+        if years or stream or alongside:
+            self._change_years(table, years, lambda stored: how(stored, batch, spec.key, **options), stream, alongside)
 
     def replace_slices(self, table: str, batch: DataFrame, slice_key: list[str], stream: tuple[str, int] | None = None) -> None:
         """Every slice of ``slice_key`` the batch brings is replaced by the batch's rows of it."""
