@@ -300,7 +300,8 @@ def _split_groups(units: DataFrame, length: int, anchor: int, group: int) -> tup
         else:
             parts = step
         parts = stored(parts, "parts")
-        one = cut.groupBy("key", "part").agg(F.sum("m").alias("m"), *[F.first(c).alias(c) for c in ("n", "lead", "body", "low", "high")]).withColumnRenamed("part", "stretch")
+        # dealt by both: the stored rows lie by nothing, and one anchor's parts must not meet in one task
+        one = cut.repartition("key", "part").groupBy("key", "part").agg(F.sum("m").alias("m"), *[F.first(c).alias(c) for c in ("n", "lead", "body", "low", "high")]).withColumnRenamed("part", "stretch")
         several = one.groupBy("key").agg(F.sum("m").alias("places")).filter("places > 1").select("key")
         units = stored(one.join(several, "key", "left_semi"), "units")
 
