@@ -42,18 +42,17 @@ _PIECES = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 def _tokenized(vocabulary_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(vocabulary(vocabulary_file))
-        width = 2 if tokens.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        width = tokens.width
         part, served = TaskContext.get().partitionId(), {}
         for batch in batches:
             _, starts = text_bytes(batch.column(1))
             for a, b in in_blocks(starts, BLOCK):
-                ids, lengths = tokens.encode(batch.column(1)[a:b].to_pylist())
-                body, ends = ids.astype(f"<u{width}").tobytes(), width * np.cumsum(lengths)
+                kept = tokens.packed(batch.column(1)[a:b].to_pylist())
+                lengths = np.array([len(k) // width for k in kept], np.int64)
                 queues, before = batch.column(2)[a:b].to_pylist(), []
                 for q, n in zip(queues, lengths.tolist()):
                     before.append(served.get(q, 0))
                     served[q] = before[-1] + n
-                kept = [body[e - width * n : e] for e, n in zip(ends.tolist(), lengths.tolist())]
                 columns = [pa.array([part] * (b - a), pa.int32()), pa.array(queues, pa.string()), batch.column(0)[a:b], pa.array(before, pa.int64()), pa.array(lengths), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in IDS.split(", ")])
 

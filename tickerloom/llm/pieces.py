@@ -136,7 +136,12 @@ class Pieces:
         """Ids of all texts as one array, and the number of ids of each."""
         cut, known = [self._words(t) if t else [] for t in texts], self.known
         parts = [list(map(known.get, words)) for words in cut]
-        lacking = [i for i, part in enumerate(parts) if None in part]
+        whole, lacking = [b""] * len(texts), []
+        for i, part in enumerate(parts):
+            try:
+                whole[i] = b"".join(part)
+            except TypeError:  # some word is not known yet
+                lacking.append(i)
         new = list({w for i in lacking for w, k in zip(cut[i], parts[i]) if k is None})
         if len(known) + len(new) > REMEMBERED:
             known.clear()
@@ -146,11 +151,10 @@ class Pieces:
             data, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(lengths)).tolist()
             known.update(zip(words, [data[i:j] for i, j in zip([0, *ends], ends)]))
         for i in lacking:
-            parts[i] = [known[w] if k is None else k for w, k in zip(cut[i], parts[i])]
+            whole[i] = b"".join([known[w] if k is None else k for w, k in zip(cut[i], parts[i])])
         for word in new:
             if len(word) > LONGEST_REMEMBERED:
                 del known[word]
-        whole = [b"".join(part) for part in parts]
         return np.frombuffer(b"".join(whole), "<i4"), np.array([len(w) // 4 for w in whole], np.int64)
 
     def _words(self, text: str) -> list[str]:

@@ -118,7 +118,7 @@ def unframed(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
 def _writer(folder: str, vocabulary_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(vocabulary(vocabulary_file))
-        width = 2 if tokens.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        width = tokens.width
         shard = TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(folder)
         name = f"part-{shard:06d}-{uuid.uuid4().hex[:8]}"
@@ -129,15 +129,14 @@ def _writer(folder: str, vocabulary_file: str):
                 out = store.open_output_stream(f"{root}/{name}.records")
             _, starts = text_bytes(batch.column(1))
             for a, b in in_blocks(starts, BLOCK):
-                ids, lengths = tokens.encode(batch.column(1)[a:b].to_pylist())
-                body, ends = ids.astype(f"<u{width}").tobytes(), np.cumsum(lengths) * width
+                bodies = tokens.packed(batch.column(1)[a:b].to_pylist())
                 doc_ids = batch.column(0)[a:b].to_pylist()
-                items = [struct.pack(_HEAD, d or 0, d is None, width) + body[e - n * width : e] for d, e, n in zip(doc_ids, ends.tolist(), lengths.tolist())]
+                items = [struct.pack(_HEAD, d or 0, d is None, width) + body for d, body in zip(doc_ids, bodies)]
                 records = framed(items)
                 out.write(b"".join(records))
                 sizes = np.array([len(r) for r in records], np.int64)
                 index.append(np.stack([place + np.cumsum(sizes) - sizes, sizes - 16], 1))
-                place, n_tokens = place + int(sizes.sum()), n_tokens + len(ids)
+                place, n_tokens = place + int(sizes.sum()), n_tokens + sum(map(len, bodies)) // width
         if out is None:
             return
         out.close()

@@ -13,10 +13,12 @@ from itertools import chain
 
 import numpy as np
 
-from tickerloom.llm.shared import kept, ranges
+from tickerloom.llm.shared import kept
 
 END_ID = 1
 REMEMBERED = 900_000  # pieces a Python worker holds at most
+# white space that no piece may hold: all but the single space and the line end
+ODD_SPACE = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]
 
 
 def vocabulary(name: str) -> str:
@@ -44,11 +46,11 @@ class Encoder:
         edge = (lambda t: t.startswith("Ġ")) if self.spaced else (lambda t: t.endswith("</w>"))
         self.edges = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.edges[[i for t, i in self.tokenizer.get_vocab().items() if edge(t)]] = True
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4  # bytes of an id
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.lengths, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        self.known: dict[str, bytes] = {}  # ids of each piece as bytes
         self._add(["\r"], np.array([END_ID], np.uint32), np.ones(1, np.int64))  # stands for the end of a text
 
     def whole(self, texts: list[str]) -> list[list[int]]:
@@ -56,42 +58,44 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, as one array, and the number of ids of each text."""
-        cut = [self._pieces(t) for t in texts]
-        odd = [i for i, pieces in enumerate(cut) if not pieces]
-        every = [p for pieces in cut for p in (pieces or ("\r",))]
-        where = list(map(self.known.get, every))
-        missing = [i for i, w in enumerate(where) if w is None] if None in where else []
-        if missing:
-            new = {every[i] for i in missing}
-            if len(self.known) + len(new) > REMEMBERED:
+        parts = self.packed(texts)
+        return np.frombuffer(b"".join(parts), f"<u{self.width}").astype(np.uint32), np.array([len(p) // self.width for p in parts], np.int64)
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text and the end id, as little-endian numbers of ``width`` bytes."""
+        cut, known = [self._pieces(t) for t in texts], self.known
+        parts = [list(map(known.get, pieces)) for pieces in cut]
+        out, lacking = [b""] * len(texts), []
+        for i, part in enumerate(parts):
+            try:
+                out[i] = b"".join(part)
+            except TypeError:  # some piece is not known yet
+                lacking.append(i)
+        if lacking:
+            new = {p for i in lacking for p, k in zip(cut[i], parts[i]) if k is None}
+            if len(known) + len(new) > REMEMBERED:
                 self._forget()
-                new, missing = set(every) - {"\r"}, range(len(every))
             self._learn(new)
-            for i in missing:
-                where[i] = self.known[every[i]]
-        where = np.array(where, np.int64)
-        n_ids = self.lengths[where]
-        ids = self.flat[np.repeat(self.starts[where], n_ids) + ranges(n_ids)]
-        ends = np.concatenate([[0], np.cumsum(n_ids)])[np.cumsum([max(1, len(p)) for p in cut], dtype=np.int64)]
-        lengths = np.diff(ends, prepend=0)
-        if odd:
-            parts, begin = np.split(ids, ends[:-1]), lengths.copy()
-            for i, own in zip(odd, self.whole([texts[i] for i in odd])):
-                parts[i] = np.array([*own, END_ID], np.uint32)
-                begin[i] = len(parts[i])
-            ids, lengths = np.concatenate(parts), begin
-        return ids.astype(np.uint32), lengths
+            known = self.known
+            for i in lacking:
+                out[i] = b"".join([known[p] if k is None else k for p, k in zip(cut[i], parts[i])])
+        odd = [i for i, pieces in enumerate(cut) if not pieces]
+        for i, own in zip(odd, self.whole([texts[i] for i in odd]) if odd else ()):
+            out[i] = np.array([*own, END_ID], f"<u{self.width}").tobytes()
+        return out
 
     def _pieces(self, text: str) -> list[str]:
         """The pieces and the end, or nothing if white space is not single spaces and line ends between words (or the text is empty)."""
         text = text.lower() if text.isascii() and not self.spaced else text
-        words = text.split()
-        gaps = len(words) - 1
-        if not words or sum(map(len, words)) + gaps != len(text) or text.count(" ") + text.count("\n") != gaps:
+        broken = "\n" in text
+        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or broken and (" \n" in text or "\n " in text or "\n\n" in text):
             return []
+        for space in ODD_SPACE[:9] if text.isascii() else ODD_SPACE:
+            if space in text:
+                return []
         if not self.spaced:
-            pieces = words
-        elif "\n" in text:
+            pieces = text.split()
+        elif broken:
             pieces = text.replace("\n", "\r\n\r").replace(" ", "\r ").split("\r")
         else:
             pieces = text.replace(" ", "\r ").split("\r")
@@ -108,18 +112,8 @@ class Encoder:
             self._add_joined(joined[a : a + 50_000])
         for a in range(0, len(apart), 50_000):
             self._add_each(apart[a : a + 50_000])
-        if stops:
-            words = np.array([self.known[p[:-1]] for p in stops], np.int64)
-            lengths = self.lengths[words] + 1
-            ends = np.cumsum(lengths)
-            ids = np.zeros(int(ends[-1]), np.uint32)
-            inside = np.ones(len(ids), bool)
-            inside[ends - 1] = False
-            ids[inside] = self.flat[np.repeat(self.starts[words], lengths - 1) + ranges(lengths - 1)]
-            dots = np.array([p[-1] == "." for p in stops])
-            for mark, here in ((".", dots), (",", ~dots)):
-                ids[ends[here] - 1] = self.marks[mark][0]
-            self._add(stops, ids, lengths)
+        marks = {s: np.array(ids, f"<u{self.width}").tobytes() for s, ids in self.marks.items()}
+        self.known.update([(p, self.known[p[:-1]] + marks[p[-1]]) for p in stops])
 
     def _add_joined(self, words: list[str]) -> None:
         """Words of letters alone, many in one text; each is one unit of the vocabulary's own split."""
@@ -137,12 +131,5 @@ class Encoder:
         self._add(pieces, np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(i) for i in ids], np.int64))
 
     def _add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.known)
-        while n + len(pieces) > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.starts[n : n + len(pieces)], self.lengths[n : n + len(pieces)] = self.used + np.cumsum(lengths) - lengths, lengths
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.known.update(zip(pieces, range(n, n + len(pieces))))
+        data, ends = ids.astype(f"<u{self.width}").tobytes(), (self.width * np.cumsum(lengths)).tolist()
+        self.known.update(zip(pieces, [data[a:b] for a, b in zip([0, *ends], ends)]))
