@@ -14,6 +14,7 @@ columns are not read, a null doc_id is handed on.
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
@@ -134,6 +135,15 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts as one array, and the number of ids of each."""
+        collects = gc.isenabled()
+        gc.disable()  # millions of short-lived strings and no cycles
+        try:
+            return self._encoded(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encoded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         cut, known = [self._words(t) if t else [] for t in texts], self.known
         parts = [list(map(known.get, words)) for words in cut]
         whole, lacking = [b""] * len(texts), []

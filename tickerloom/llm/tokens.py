@@ -8,6 +8,7 @@ library gives for the whole text.
 
 from __future__ import annotations
 
+import gc
 import os
 from itertools import chain
 
@@ -50,8 +51,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, bytes] = {}  # ids of each piece as bytes
-        self._add(["\r"], np.array([END_ID], np.uint32), np.ones(1, np.int64))  # stands for the end of a text
+        self.known: dict[str, bytes] = {}  # ids of each piece as bytes, by its key
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -63,8 +63,17 @@ class Encoder:
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian numbers of ``width`` bytes."""
-        cut, known = [self._pieces(t) for t in texts], self.known
-        parts = [list(map(known.get, pieces)) for pieces in cut]
+        collects = gc.isenabled()
+        gc.disable()  # millions of short-lived strings and no cycles
+        try:
+            return self._packed(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        cut, known = [self._keys(t) for t in texts], self.known
+        parts = [list(map(known.get, keys)) for keys in cut]
         out, lacking = [b""] * len(texts), []
         for i, part in enumerate(parts):
             try:
@@ -79,13 +88,17 @@ class Encoder:
             known = self.known
             for i in lacking:
                 out[i] = b"".join([known[p] if k is None else k for p, k in zip(cut[i], parts[i])])
-        odd = [i for i, pieces in enumerate(cut) if not pieces]
+        odd = [i for i, keys in enumerate(cut) if not keys]
         for i, own in zip(odd, self.whole([texts[i] for i in odd]) if odd else ()):
-            out[i] = np.array([*own, END_ID], f"<u{self.width}").tobytes()
-        return out
+            out[i] = np.array(own, f"<u{self.width}").tobytes()
+        end = np.array([END_ID], f"<u{self.width}").tobytes()
+        return [ids + end for ids in out]
 
-    def _pieces(self, text: str) -> list[str]:
-        """The pieces and the end, or nothing if white space is not single spaces and line ends between words (or the text is empty)."""
+    def _keys(self, text: str) -> list[str]:
+        """Keys of the pieces, or nothing if white space is not single spaces and line ends between words (or the text is empty).
+
+        Where a space belongs to the word behind it, a key stands for a space and the key, one behind a carriage return for the rest of it.
+        """
         text = text.lower() if text.isascii() and not self.spaced else text
         broken = "\n" in text
         if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or broken and (" \n" in text or "\n " in text or "\n\n" in text):
@@ -94,19 +107,19 @@ class Encoder:
             if space in text:
                 return []
         if not self.spaced:
-            pieces = text.split()
-        elif broken:
-            pieces = text.replace("\n", "\r\n\r").replace(" ", "\r ").split("\r")
-        else:
-            pieces = text.replace(" ", "\r ").split("\r")
-        pieces.append("\r")
-        return pieces
+            return text.split()
+        keys = (text.replace("\n", " \n \r") if broken else text).split(" ")
+        keys[0] = "\r" + keys[0]
+        return keys
+
+    def _piece(self, key: str) -> str:
+        return key if not self.spaced or key == "\n" else key[1:] if key[0] == "\r" else " " + key
 
     def _learn(self, new: set[str]) -> None:
         """A piece that is a word and one stop or comma is the ids of both; the word alone is seen more often."""
-        stops = [p for p in new if p[-1] in ".," and len(p) > 2 and p[-2].isalpha()]
+        stops = [p for p in new if p[-1] in ".," and len(p) > 1 and p[-2].isalpha()]
         plain = list({p[:-1] for p in stops}.union(new.difference(stops)).difference(self.known))
-        joined = [p for p in plain if (p[1:] if self.spaced and p[0] == " " else "" if self.spaced else p).isalpha()]
+        joined = [p for p in plain if p.isalpha()]
         apart = list(set(plain).difference(joined)) if len(joined) < len(plain) else []
         for a in range(0, len(joined), 50_000):
             self._add_joined(joined[a : a + 50_000])
@@ -117,8 +130,8 @@ class Encoder:
 
     def _add_joined(self, words: list[str]) -> None:
         """Words of letters alone, many in one text; each is one unit of the vocabulary's own split."""
-        between = "" if self.spaced else " "
-        parts = self.whole([between.join(words[a : a + 64]) for a in range(0, len(words), 64)])
+        lead, between = (" ", " ") if self.spaced else ("", " ")
+        parts = self.whole([lead + between.join(words[a : a + 64]) for a in range(0, len(words), 64)])
         ids = np.fromiter(chain.from_iterable(parts), np.uint32)
         edges = np.flatnonzero(self.edges[ids])
         if len(edges) != len(words):
@@ -126,10 +139,10 @@ class Encoder:
         else:
             self._add(words, ids, np.diff(edges, append=len(ids)) if self.spaced else np.diff(edges, prepend=-1))
 
-    def _add_each(self, pieces: list[str]) -> None:
-        ids = self.whole(pieces)
-        self._add(pieces, np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(i) for i in ids], np.int64))
+    def _add_each(self, keys: list[str]) -> None:
+        ids = self.whole([self._piece(k) for k in keys])
+        self._add(keys, np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(i) for i in ids], np.int64))
 
-    def _add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _add(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         data, ends = ids.astype(f"<u{self.width}").tobytes(), (self.width * np.cumsum(lengths)).tolist()
-        self.known.update(zip(pieces, [data[a:b] for a, b in zip([0, *ends], ends)]))
+        self.known.update(zip(keys, [data[a:b] for a, b in zip([0, *ends], ends)]))
