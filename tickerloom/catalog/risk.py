@@ -42,66 +42,93 @@ def drawdown_recovery(spark, sf):
     return K.drawdown_recovery(A.bars(spark, sf))
 
 
-def _nations(spark, sf):
-    """Monthly prices of nations and the nine most traded of them: a portfolio whose names share most dates."""
-    return A.nation_months(spark, sf), A.most_traded_nations(spark, sf, 9)
-
-
-NAMES = 9
-
-
-def _wide_sql(n: int = NAMES) -> str:
-    cols = ", ".join(f"max(adj_close) FILTER (WHERE i = {k}) AS p{k}" for k in range(n))
-    known = " AND ".join(f"p{k} IS NOT NULL" for k in range(n))
-    rets = ", ".join(f"p{k} / lag(p{k}) OVER (ORDER BY fecha) - 1 AS r{k}" for k in range(n))
-    return f"""
+NATIONS_SQL = """
 lines AS (SELECT 'N' || s_nationkey AS ticker_usd, last_day(CAST(l_shipdate AS DATE)) AS fecha, CAST(round(l_extendedprice * 100) AS BIGINT) AS e, CAST(l_quantity AS BIGINT) AS q
           FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
-months AS (SELECT ticker_usd, fecha, CAST(sum(e) AS BIGINT) / CAST(sum(q) AS DOUBLE) / 100 AS adj_close FROM lines GROUP BY 1, 2),
-names AS (SELECT ticker_usd, row_number() OVER (ORDER BY v DESC, ticker_usd) - 1 AS i FROM (SELECT ticker_usd, sum(q) AS v FROM lines GROUP BY 1) QUALIFY i < {n}),
-wide AS (SELECT * FROM (SELECT fecha, {cols} FROM months b JOIN names t ON t.ticker_usd = b.ticker_usd GROUP BY 1) WHERE {known}),
-cr AS (SELECT * FROM (SELECT fecha, {rets} FROM wide) WHERE r0 IS NOT NULL),
-long AS (SELECT fecha, i, r FROM (SELECT *, unnest(range({n})) AS i, unnest([{", ".join(f"r{k}" for k in range(n))}]) AS r FROM cr)),
-two AS (SELECT a.fecha, a.i, b.i AS j, a.r AS x, b.r AS y FROM long a JOIN long b ON a.fecha = b.fecha AND a.i < b.i),
-ps AS (SELECT n1.ticker_usd AS a, n2.ticker_usd AS b, corr, cov FROM (SELECT i, j, corr(x, y) AS corr, covar_samp(x, y) AS cov FROM two GROUP BY 1, 2) c
-       JOIN names n1 ON n1.i = c.i JOIN names n2 ON n2.i = c.j)"""
+months AS (SELECT ticker_usd, fecha, CAST(sum(e) AS BIGINT) / CAST(sum(q) AS DOUBLE) / 100 AS adj_close FROM lines GROUP BY 1, 2)"""
+ALL_SQL = f"""{NATIONS_SQL},
+shared AS (SELECT fecha FROM months GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT ticker_usd) FROM months)),
+cr AS (SELECT * FROM (SELECT ticker_usd, fecha, adj_close / lag(adj_close) OVER (PARTITION BY ticker_usd ORDER BY fecha) - 1 AS r FROM months SEMI JOIN shared USING (fecha)) WHERE r IS NOT NULL),
+two AS (SELECT a.fecha, a.ticker_usd AS a, b.ticker_usd AS b, a.r AS x, b.r AS y FROM cr a JOIN cr b ON a.fecha = b.fecha AND a.ticker_usd < b.ticker_usd),
+ps AS (SELECT a, b, corr(x, y) AS corr, covar_samp(x, y) AS cov FROM two GROUP BY 1, 2)"""
 
 
-@query("common_returns", "fecha " + " ".join(f"r{k}:f6" for k in range(NAMES)), f"WITH {_wide_sql()} SELECT * FROM cr")
+def _nations(spark, sf):
+    """Monthly prices of all nations: names that share most dates."""
+    return A.nation_months(spark, sf)
+
+
+@query("common_returns", "ticker_usd fecha r:f6", f"WITH {ALL_SQL} SELECT * FROM cr")
 def common_returns(spark, sf):
-    return K.common_returns(*_nations(spark, sf))
+    return K.common_returns(_nations(spark, sf))
 
 
-@query("corr_pairs", "a b corr:f6 cov:f6", f"WITH {_wide_sql()} SELECT * FROM ps")
+@query("corr_pairs", "a b corr:f6 cov:f6", f"WITH {ALL_SQL} SELECT * FROM ps")
 def corr_pairs(spark, sf):
-    return K.correlation_pairs(*_nations(spark, sf))
+    return K.correlation_pairs(_nations(spark, sf))
 
 
 @query(
     "extreme_pairs",
     "a b corr:f6 extremo",
-    f"""WITH {_wide_sql()}
+    f"""WITH {ALL_SQL}
 SELECT * FROM (SELECT *, 'más' AS extremo FROM ps ORDER BY corr DESC, a, b LIMIT 5) UNION ALL SELECT * FROM (SELECT *, 'menos' AS extremo FROM ps ORDER BY corr, a, b LIMIT 5)""",
 )
 def extreme_pairs(spark, sf):
-    return K.extreme_pairs(K.correlation_pairs(*_nations(spark, sf)))
+    return K.extreme_pairs(K.correlation_pairs(_nations(spark, sf)))
+
+
+SUPPLIER_PAIRS_SQL = f"""
+WITH r AS ({RET})
+SELECT a.ticker_usd AS a, b.ticker_usd AS b, count(*) AS n, covar_samp(a.r, b.r) AS cov, CASE WHEN stddev_samp(a.r) > 0 AND stddev_samp(b.r) > 0 THEN corr(a.r, b.r) END AS corr
+FROM r a JOIN r b ON a.fecha = b.fecha AND a.ticker_usd < b.ticker_usd GROUP BY 1, 2 HAVING count(*) >= 10"""
+
+
+@query("supplier_pairs", "a b n:i cov:f4 corr:f4", SUPPLIER_PAIRS_SQL)
+def supplier_pairs(spark, sf):
+    """All pairs of all suppliers, each over the dates both have."""
+    return K.pairwise_correlations(A.bars(spark, sf), min_dates=10)
+
+
+@query(
+    "supplier_extremes",
+    "a b corr:f6 extremo",
+    f"""WITH ps AS ({SUPPLIER_PAIRS_SQL.replace("HAVING count(*) >= 10", "HAVING count(*) >= 12")})
+SELECT * FROM (SELECT *, 'más' AS extremo FROM ps WHERE corr IS NOT NULL ORDER BY corr DESC, a, b LIMIT 5)
+UNION ALL SELECT * FROM (SELECT *, 'menos' AS extremo FROM ps WHERE corr IS NOT NULL ORDER BY corr, a, b LIMIT 5)""",
+)
+def supplier_extremes(spark, sf):
+    return K.extreme_pairs(K.pairwise_correlations(A.bars(spark, sf), min_dates=12))
 
 
 @query(
     "regime_stats",
     "regimen dias:i periodo_pct:f4 retorno_medio_pct:f4 vol_anual_pct:f4 cvar_95_pct:f4 peor_dia_pct:f4 corr_promedio:f6",
     f"""
-WITH {_wide_sql()},
-n AS (SELECT *, (SELECT avg(r) FROM long l WHERE l.fecha = cr.fecha) AS r, CASE WHEN v < 0 THEN NULL WHEN v < 20 THEN 'Calma' WHEN v < 30 THEN 'Normal' WHEN v IS NOT NULL THEN 'Estrés' END AS regimen
-      FROM cr ASOF LEFT JOIN (SELECT fecha AS fv, valor AS v FROM macro WHERE serie = 'VIX') m ON cr.fecha >= m.fv),
+WITH {ALL_SQL},
+d AS (SELECT fecha, avg(r) AS r FROM cr GROUP BY 1),
+n AS (SELECT *, CASE WHEN v < 0 THEN NULL WHEN v < 20 THEN 'Calma' WHEN v < 30 THEN 'Normal' WHEN v IS NOT NULL THEN 'Estrés' END AS regimen
+      FROM d ASOF LEFT JOIN (SELECT fecha AS fv, valor AS v FROM macro WHERE serie = 'VIX') m ON d.fecha >= m.fv),
 s AS (SELECT regimen, count(*) AS dias, avg(r) AS media, stddev_samp(r) AS de, quantile_cont(r, 0.05) AS va, min(r) AS peor FROM n WHERE regimen IS NOT NULL GROUP BY 1),
-c AS (SELECT regimen, avg(k) AS c FROM (SELECT regimen, i, j, corr(x, y) AS k FROM two JOIN n ON n.fecha = two.fecha WHERE regimen IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1)
+c AS (SELECT regimen, avg(k) AS c FROM (SELECT regimen, a, b, corr(x, y) AS k FROM two JOIN n ON n.fecha = two.fecha WHERE regimen IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1)
 SELECT s.regimen, dias, dias * 100e0 / (SELECT count(*) FROM n) AS periodo_pct, media * 100 AS retorno_medio_pct, de * sqrt(252) * 100 AS vol_anual_pct,
        (SELECT avg(r) * 100 FROM n WHERE n.regimen = s.regimen AND n.r <= s.va) AS cvar_95_pct, peor * 100 AS peor_dia_pct, c AS corr_promedio FROM s LEFT JOIN c ON c.regimen = s.regimen""",
 )
 def regime_stats(spark, sf):
-    prices, names = _nations(spark, sf)
-    return K.regime_stats(prices, A.macro(spark, sf), names, calm=20, stress=30)
+    return K.regime_stats(_nations(spark, sf), A.macro(spark, sf), calm=20, stress=30)
+
+
+def _wide_sql(n: int) -> str:
+    """Returns of the ``n`` most traded nations side by side: the portfolio the grids are asked about."""
+    cols = ", ".join(f"max(adj_close) FILTER (WHERE i = {k}) AS p{k}" for k in range(n))
+    known = " AND ".join(f"p{k} IS NOT NULL" for k in range(n))
+    rets = ", ".join(f"p{k} / lag(p{k}) OVER (ORDER BY fecha) - 1 AS r{k}" for k in range(n))
+    return f"""{NATIONS_SQL},
+names AS (SELECT ticker_usd, row_number() OVER (ORDER BY v DESC, ticker_usd) - 1 AS i FROM (SELECT ticker_usd, sum(q) AS v FROM lines GROUP BY 1) QUALIFY i < {n}),
+wide AS (SELECT * FROM (SELECT fecha, {cols} FROM months b JOIN names t ON t.ticker_usd = b.ticker_usd GROUP BY 1) WHERE {known}),
+cr AS (SELECT * FROM (SELECT fecha, {rets} FROM wide) WHERE r0 IS NOT NULL),
+long AS (SELECT fecha, i, r FROM (SELECT *, unnest(range({n})) AS i, unnest([{", ".join(f"r{k}" for k in range(n))}]) AS r FROM cr)),
+two AS (SELECT a.fecha, a.i, b.i AS j, a.r AS x, b.r AS y FROM long a JOIN long b ON a.fecha = b.fecha AND a.i < b.i)"""
 
 
 def _grid_sql(steps: int) -> str:
@@ -121,8 +148,7 @@ GRID_NAMES = 5
 
 
 def _grid(spark, sf, steps):
-    prices, names = _nations(spark, sf)
-    return K.portfolio_grid(prices, names[:GRID_NAMES], steps=steps)
+    return K.portfolio_grid(_nations(spark, sf), A.most_traded_nations(spark, sf, GRID_NAMES), steps=steps)
 
 
 @query(
@@ -137,10 +163,10 @@ def portfolio_grid(spark, sf):
 @query(
     "portfolio_frontier",
     "tramo:i retorno:f6 vol:f6",
-    f"{_grid_sql(12)} SELECT least(greatest(floor((retorno - lo) / (hi - lo) * 25), 0), 24) AS tramo, arg_min(retorno, vol) AS retorno, min(vol) AS vol FROM p GROUP BY 1",
+    f"{_grid_sql(20)} SELECT least(greatest(floor((retorno - lo) / (hi - lo) * 25), 0), 24) AS tramo, arg_min(retorno, vol) AS retorno, min(vol) AS vol FROM p GROUP BY 1",
 )
 def portfolio_frontier(spark, sf):
-    return _grid(spark, sf, 12).filter("es_frontera")
+    return _grid(spark, sf, 20).filter("es_frontera")
 
 
 def _portfolio_returns(spark, sf):
