@@ -302,34 +302,31 @@ def series_filled(spark, sf):
     return M.filled_series(A.macro(spark, sf), A.bars(spark, sf), ["VIX", "USDBRL"])
 
 
+# Everything known about a company in one row; every rule then looks at that row.
 QUALITY_BODY = """
-WITH hoy AS (SELECT max(fecha) AS h FROM bars),
-pt AS (SELECT b.ticker_usd, d.mercado, min(fecha) AS primera, max(fecha) AS ultima,
-              count(*) FILTER (WHERE fecha >= (SELECT h FROM hoy) - 30 AND coalesce(volume, 0) = 0) AS sinvol,
-              count(*) FILTER (WHERE fecha >= (SELECT h FROM hoy) - 365 AND (adj_close <= 0 OR close <= 0 OR high < low)) AS inval
-       FROM bars b JOIN dim d ON d.ticker_usd = b.ticker_usd GROUP BY 1, 2),
-mk AS (SELECT mercado, max(ultima) AS um FROM pt GROUP BY 1),
-saltos AS (SELECT ticker_usd, arg_max(ret, ROW(abs(ret), fecha)) AS ret, arg_max(fecha, ROW(abs(ret), fecha)) AS f
-           FROM (SELECT *, adj_close / lag(adj_close) OVER (PARTITION BY ticker_usd ORDER BY fecha) - 1 AS ret FROM bars WHERE adj_close > 0)
-           WHERE fecha >= (SELECT h FROM hoy) - 90 AND (ret >= 1 OR ret <= -0.5) GROUP BY 1),
-me AS (SELECT ticker_usd, max(fecha) AS fecha, arg_max(margen_neto_pct, fecha) FILTER (WHERE margen_neto_pct IS NOT NULL) AS mn,
-              arg_max(margen_operativo_pct, fecha) FILTER (WHERE margen_operativo_pct IS NOT NULL) AS mo,
-              arg_max(enterprise_value, fecha) FILTER (WHERE enterprise_value IS NOT NULL) AS ev,
-              arg_max(market_cap, fecha) FILTER (WHERE market_cap IS NOT NULL) AS mc,
-              arg_max(institutional_holding_pct, fecha) FILTER (WHERE institutional_holding_pct IS NOT NULL) AS ih FROM metrics GROUP BY 1)
-SELECT ticker_usd, 'cotizacion_sin_movimiento' AS regla, 'error' AS severidad, CAST(sinvol AS DOUBLE) AS valor, CAST(NULL AS DOUBLE) AS referencia
-FROM pt WHERE sinvol > 5 AND mercado <> 'cripto'
-UNION ALL SELECT ticker_usd, 'precio_desactualizado', 'error', CAST(ultima - DATE '1970-01-01' AS DOUBLE), CAST(um - DATE '1970-01-01' AS DOUBLE)
-FROM pt JOIN mk USING (mercado) WHERE um - ultima > {behind}
-UNION ALL SELECT ticker_usd, 'precio_invalido', 'error', inval, NULL FROM pt WHERE inval > 0
-UNION ALL SELECT ticker_usd, 'metricas_desactualizadas', 'error', CAST(fecha - DATE '1970-01-01' AS DOUBLE), NULL FROM me
-WHERE (SELECT max(fecha) FROM metrics) - fecha > 7
-UNION ALL SELECT ticker_usd, 'salto_de_precio', 'advertencia', ret, CAST(f - DATE '1970-01-01' AS DOUBLE) FROM saltos
-UNION ALL SELECT ticker_usd, 'margen_incoherente', 'advertencia', mn, mo FROM me WHERE mn > 0 AND mn >= mo + 10
-UNION ALL SELECT me.ticker_usd, 'moneda_inconsistente', 'advertencia', ev, mc FROM me JOIN dim d ON d.ticker_usd = me.ticker_usd
-WHERE mc > 0 AND coalesce(sector_corregido, sector) <> 'Financial Services' AND (ev < 0 OR abs(ev) > 10 * mc)
-UNION ALL SELECT me.ticker_usd, 'tenencia_institucional_no_confiable', 'advertencia', ih, CAST(primera - DATE '1970-01-01' AS DOUBLE)
-FROM me JOIN pt ON pt.ticker_usd = me.ticker_usd WHERE ih < 5 AND primera > (SELECT h FROM hoy) - 365"""
+WITH clock AS (SELECT max(fecha) AS today FROM bars),
+traded AS (SELECT ticker_usd, min(fecha) AS first_day, max(fecha) AS last_day, count_if(coalesce(volume, 0) = 0 AND fecha >= today - 30) AS idle_days,
+                  count_if((adj_close <= 0 OR close <= 0 OR high < low) AND fecha >= today - 365) AS bad_days FROM bars, clock GROUP BY 1),
+moves AS (SELECT ticker_usd, fecha, adj_close / lag(adj_close) OVER (PARTITION BY ticker_usd ORDER BY fecha) - 1 AS move FROM bars WHERE adj_close > 0),
+wildest AS (SELECT DISTINCT ON (ticker_usd) ticker_usd, move, fecha AS moved_on FROM moves, clock WHERE fecha >= today - 90 AND (move >= 1 OR move <= -0.5) ORDER BY ticker_usd, abs(move) DESC, fecha DESC),
+known AS (SELECT DISTINCT ON (ticker_usd, name) ticker_usd, name, value
+          FROM (UNPIVOT (SELECT ticker_usd, fecha, margen_neto_pct AS net, margen_operativo_pct AS op, enterprise_value AS firm, market_cap AS cap, institutional_holding_pct AS held FROM metrics)
+                ON net, op, firm, cap, held INTO NAME name VALUE value) ORDER BY ticker_usd, name, fecha DESC),
+ratios AS (PIVOT known ON name IN ('net', 'op', 'firm', 'cap', 'held') USING max(value) GROUP BY ticker_usd),
+filed AS (SELECT ticker_usd, max(fecha) AS filed_on, max(max(fecha)) OVER () - max(fecha) AS late FROM metrics GROUP BY 1),
+company AS (SELECT *, max(last_day) OVER (PARTITION BY mercado) AS market_day, coalesce(sector_corregido, sector) = 'Financial Services' AS bank
+            FROM clock, dim LEFT JOIN traded USING (ticker_usd) LEFT JOIN wildest USING (ticker_usd) LEFT JOIN ratios USING (ticker_usd) LEFT JOIN filed USING (ticker_usd)),
+marks AS (SELECT ticker_usd, unnest([
+  struct_pack(hit := mercado <> 'cripto' AND idle_days > 5, regla := 'cotizacion_sin_movimiento', severidad := 'error', valor := CAST(idle_days AS DOUBLE), referencia := CAST(NULL AS DOUBLE)),
+  struct_pack(hit := market_day - last_day > {behind}, regla := 'precio_desactualizado', severidad := 'error', valor := CAST(last_day - DATE '1970-01-01' AS DOUBLE), referencia := CAST(market_day - DATE '1970-01-01' AS DOUBLE)),
+  struct_pack(hit := bad_days > 0, regla := 'precio_invalido', severidad := 'error', valor := CAST(bad_days AS DOUBLE), referencia := CAST(NULL AS DOUBLE)),
+  struct_pack(hit := late > 7, regla := 'metricas_desactualizadas', severidad := 'error', valor := CAST(filed_on - DATE '1970-01-01' AS DOUBLE), referencia := CAST(NULL AS DOUBLE)),
+  struct_pack(hit := move IS NOT NULL, regla := 'salto_de_precio', severidad := 'advertencia', valor := move, referencia := CAST(moved_on - DATE '1970-01-01' AS DOUBLE)),
+  struct_pack(hit := net > 0 AND net - op >= 10, regla := 'margen_incoherente', severidad := 'advertencia', valor := net, referencia := op),
+  struct_pack(hit := NOT bank AND cap > 0 AND (firm < 0 OR firm > 10 * cap), regla := 'moneda_inconsistente', severidad := 'advertencia', valor := firm, referencia := cap),
+  struct_pack(hit := held < 5 AND today - first_day < 365, regla := 'tenencia_institucional_no_confiable', severidad := 'advertencia', valor := held, referencia := CAST(first_day - DATE '1970-01-01' AS DOUBLE))
+]) AS mark FROM company)
+SELECT ticker_usd, mark.regla, mark.severidad, mark.valor, mark.referencia FROM marks WHERE mark.hit"""
 
 
 def quality_of(spark, sf):
