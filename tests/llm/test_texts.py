@@ -1,12 +1,13 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 from zlib import crc32
 
 import pytest
 
-from tickerloom.llm import language, leaks, licenses, mixing, secrets
+from tickerloom.llm import exact, language, leaks, licenses, mixing, secrets
 
 
 def words_of(text):
@@ -114,6 +115,47 @@ def test_licenses(docs, prose):
     assert licenses.license_scan(docs([])).collect() == []
 
 
+def test_short_notices_on_diagonals(docs, prose):
+    """Notices and SPDX forms where all their words stand in a row, by all diagonals of a plain search; the base columns do not count them."""
+    forms = list(licenses.NOTICES)
+    rows = [(i, f"{prose(i, 8)} {form.upper()}. {prose(i + 30, 5)}") for i, form in enumerate(forms)]
+    rows += [(50, "SPDX-License-Identifier: Apache-2.0"), (51, "all rights were reserved"), (52, "all rights all rights reserved"), (53, "Copyright. ALL RIGHTS RESERVED, under the MIT License.")]
+    for r in licenses.license_scan(docs(rows)).collect():
+        own = words_of(dict(rows)[r.doc_id])
+        held = {label for phrase, label in {**licenses.NOTICES, **licenses.PHRASES}.items() for p in [phrase.split()] if any(own[a : a + len(p)] == p for a in range(len(own)))}
+        assert set(filter(None, r.labels.split(","))) == held
+        assert r.n_base == (1 if r.doc_id == 53 else 0) and r.base_labels == ("mit" if r.doc_id == 53 else "")
+
+
+def test_notices_in_the_given_documents(spark):
+    found = licenses.license_scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("labels <> base_labels")
+    assert {label for r in found.collect() for label in r.labels.split(",")} >= {"gpl", "all-rights-reserved"}
+
+
+def test_clashing_columns_keep_their_values(spark, prose):
+    """Columns named like those an operator makes for itself come back as they went in."""
+    rows = [(i, prose(i, 60), "en", "s", 1, 7 + i, f"h{i}", f"d{i}", 5.0 + i, 3 * i) for i in range(6)]
+    table = spark.createDataFrame([*rows, (9, rows[0][1], "en", "s", 1, 70, "h", "d", 1.0, 4)], "doc_id long, text string, lang string, source string, n_chars long, predicted int, hits string, digest string, `_digest` double, keep_id int")
+    bench = spark.createDataFrame([(1, " ".join(rows[2][1].split()[:12]))], "item_id long, text string")
+    values = {r[0]: r[5:] for r in rows}
+    for out, ids in ((language.with_language(table), {0, 1, 2, 3, 4, 5, 9}), (leaks.clean_documents(table, bench), {0, 1, 3, 4, 5, 9}), (exact.without_copies(table), set(range(6)))):
+        assert out.columns == table.columns and out.schema == table.schema
+        found = {r.doc_id: tuple(r)[5:] for r in out.collect()}
+        assert set(found) == ids and all(found[i] == values[i] for i in ids - {9})
+    cut = {r.doc_id: r for r in leaks.cut_hits(table, bench).collect()}
+    assert cut[2].hits == "h2" and cut[2].text.split() == rows[2][1].split()[12:]
+
+
+def test_texts_of_no_learned_language_go(docs, prose):
+    r = random.Random(4)
+    rows = [(i, prose(i, 80)) for i in range(30)]
+    unlearned = [i for i in range(100, 200) if crc32(str(i).encode()) % 4 == 2]
+    strange = [(unlearned[0], " ".join("".join(chr(r.randrange(0x430, 0x450)) for _ in range(6)) for _ in range(80))), (unlearned[1], "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(300)))]
+    short = [(50, "token = b64b244acde2e3b0aa8f051af1ec018ebaba3"), (51, "Ok."), (52, "-- 12"), (53, None)]
+    kept = {x.doc_id for x in language.with_language(docs(rows + strange + short)).collect()}
+    assert kept == {*range(30), 50, 51}
+
+
 def test_licenses_among_fragments(docs, prose):
     """Fragments of a template around a whole copy do not hide it, and a run that is repeated counts once."""
     passage = dict(licenses.TEMPLATES)["all-rights-reserved"]
@@ -124,9 +166,9 @@ def test_licenses_among_fragments(docs, prose):
         (5, " ".join(bsd.split()[:7] * 6)), (6, prose(1, 9) + " " + bsd.replace("source", "source one two three four five six").replace("permitted", "a b c d e f permitted")), (7, passage + " " + passage),
     ]
     got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(docs(rows)).collect()}
-    assert got[1] == got[2] == got[7] == ("all-rights-reserved", 1.0) and got[3] == got[5] == ("", 0.0)
+    assert got[1] == got[2] == got[3] == got[7] == ("all-rights-reserved", 1.0) and got[5] == ("", 0.0)
     assert got[4] == ("bsd", 1.0) and got[6][0] == "bsd" and got[6][1] < 1
-    copies = [r for r in licenses.license_spans(docs(rows)).filter("doc_id = 7 and template >= 0").collect()]
+    copies = [r for r in licenses.license_spans(docs(rows)).filter("doc_id = 7 and template >= 0 and not fixed").collect()]
     assert sorted((r["first"], r["last"]) for r in copies) == [(0, 10), (11, 21)]
 
 

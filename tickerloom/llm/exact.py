@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.shared import BLANKS, stored, texts_of
+from tickerloom.llm.shared import BLANKS, free_name, stored, texts_of
 
 KEY = ["digest", "n_bytes", "check"]  # entries are one text only if digest, length and a second hash agree
 FAN = 8
@@ -93,8 +93,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Of rows with the same doc_id and text one stays."""
     text = normalised(F.coalesce(F.col("text"), F.lit("")))
-    names = {k: f"_{k}" for k in [*KEY, "keep_id"]}
-    keyed = docs.select(*docs.columns, *[c.alias(names[k]) for c, k in zip(_key(text), KEY)], F.col("doc_id").cast("long").alias("_keep_id"))
+    names = {k: free_name(docs, k) for k in [*KEY, "keep_id"]}
+    keyed = docs.select(*docs.columns, *[c.alias(names[k]) for c, k in zip(_key(text), KEY)], F.col("doc_id").cast("long").alias(names["keep_id"]))
     groups = merge_tree(stored(digests(docs), "digests")).select(*[F.col(k).alias(v) for k, v in names.items()])
     same = [keyed[v].eqNullSafe(groups[v]) for v in names.values()]
     return keyed.join(groups, same, "left_semi").dropDuplicates(list(names.values())).select(*docs.columns)

@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.llm.shared import LOWER, in_blocks, text_bytes
+from tickerloom.llm.shared import LOWER, free_name, in_blocks, text_bytes
 from tickerloom.llm.shared import kept as remembered
 
 ORDER = 4
 CELLS, PER_CELL = 16, 24
+ENOUGH_BYTES, FAR, RAW_BITS, SPARE_BITS = 200, 1.25, 8, 400  # what a text of some language costs at most
 UNKNOWN = "und"
 REMEMBERED, REMEMBERED_BYTES = 400_000, 32 << 20
 LETTER = re.compile(r"[^\W\d_]")
@@ -171,7 +172,7 @@ def memory_of(trees: Trees) -> Remembered:
     return remembered(("language", trees.name), lambda: Remembered(trees.word_bits, len(trees.langs)))
 
 
-def _predict(trees: Trees, kept: list[str]):
+def _predict(trees: Trees, kept: list[str], column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = memory_of(trees)
         for batch in batches:
@@ -194,18 +195,18 @@ def _predict(trees: Trees, kept: list[str]):
                     best = int(own.argmin())
                     score = float(1 / np.exp2(np.maximum(own[best] - own, -1000)).sum())
                     found.append({"lang": trees.langs[best], "score": score, "bits_per_byte": float(own[best]) / int(starts[i + 1] - starts[i])})
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(found, _FOUND)], [*kept, "predicted"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(found, _FOUND)], [*kept, column])
 
     return run
 
 
-def predicted(docs: DataFrame, trees: Trees, keep_text: bool = True) -> DataFrame:
-    """``docs`` with a last column ``predicted``: lang, score (probability of the language, all being as likely before), bits_per_byte.
+def predicted(docs: DataFrame, trees: Trees, keep_text: bool = True, column: str = "predicted") -> DataFrame:
+    """``docs`` with a last column (``predicted``): lang, score (probability of the language, all being as likely before), bits_per_byte.
     A column of ``docs`` with that name is left out; so is the text without ``keep_text``. No rows move."""
-    own = docs.drop("predicted")
+    own = docs.drop(column)
     kept = [c for c in own.columns if keep_text or c != "text"]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(kept).schema], f"predicted {FOUND}"])
-    return own.mapInArrow(_predict(trees, kept), schema)
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(kept).schema], f"`{column}` {FOUND}"])
+    return own.mapInArrow(_predict(trees, kept, column), schema)
 
 
 def learned(docs: DataFrame) -> Trees:
@@ -219,6 +220,22 @@ def identify(docs: DataFrame) -> DataFrame:
     return predicted(own, learned(docs), keep_text=False).select("doc_id", "held_out", F.col("predicted.lang").alias("lang_pred"), "predicted.score", "predicted.bits_per_byte")
 
 
+def costliest(docs: DataFrame, trees: Trees) -> float | None:
+    """The most bits a byte that a labelled document of the sample (of ``ENOUGH_BYTES`` or more) takes in its best language."""
+    labelled = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang").filter("text is not null and lang is not null")
+    costs = predicted(sample(labelled).filter(F.octet_length("text") >= ENOUGH_BYTES), trees, keep_text=False)
+    return costs.agg(F.max("predicted.bits_per_byte")).first()[0]
+
+
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in some language: those that are ``und`` go."""
-    return predicted(docs, learned(docs)).filter(F.col("predicted.lang") != UNKNOWN).select(docs.columns)
+    """The rows of ``docs`` in some language. Those that are ``und`` go, and those that every learned language would rather lengthen than shorten: more than
+    ``RAW_BITS`` a byte, more than ``FAR`` times what the costliest labelled text takes, and ``SPARE_BITS`` besides, so that names, numbers and keys in a
+    short text do not count against it."""
+    trees, own = learned(docs), free_name(docs, "predicted")
+    most = costliest(docs, trees)
+    found = predicted(docs, trees, column=own)
+    kept = F.col(own)["lang"] != UNKNOWN
+    if most is not None:
+        size = F.octet_length("text")
+        kept &= F.col(own)["bits_per_byte"] * size <= max(RAW_BITS, FAR * most) * size + SPARE_BITS
+    return found.filter(kept).drop(own)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.shared import ranges, text_bytes, texts_of
+from tickerloom.llm.shared import free_name, ranges, text_bytes, texts_of
 
 WINDOW = 10
 SAMPLED = 16
@@ -179,7 +179,7 @@ def _shard_hits(texts: list[np.ndarray], windows: Windows) -> tuple[np.ndarray,
     return np.array(text_of)[stretch], np.array(first_of)[stretch] + place - starts[stretch], which
 
 
-def _search(windows: Windows, shard_words: int, text_at: int, earlier: bool, names: list[str]):
+def _search(windows: Windows, shard_words: int, text_at: int, earlier: bool, names: list[str], column: str):
     """Hits of every row; the columns ``names`` are handed on. With ``earlier`` the last column has the hits of other items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,7 @@ def _search(windows: Windows, shard_words: int, text_at: int, earlier: bool, nam
             if earlier:
                 old = batch.column(batch.num_columns - 1).to_pylist()
                 hits = [{"n_words": h["n_words"], "spans": merged(o["spans"] + h["spans"]), "items": sorted({*o["items"], *h["items"]})} for o, h in zip(old, hits)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(n)) for n in names], pa.array(hits, _HITS)], [*names, "hits"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(n)) for n in names], pa.array(hits, _HITS)], [*names, column])
 
     return run
 
@@ -249,30 +249,15 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[str, str]]]:
         yield block
 
 
-def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of several searches of one document become one list."""
-    for batch in batches:
-        merged = []
-        for spans in batch.column(3).to_pylist():
-            own: list[dict] = []
-            for s in sorted(spans, key=lambda s: s["first"]):
-                if own and s["first"] <= own[-1]["last"] + 1:
-                    own[-1]["last"] = max(own[-1]["last"], s["last"])
-                else:
-                    own.append(dict(s))
-            merged.append(own)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(merged, batch.schema.field(3).type), batch.column(4)], batch.schema.names)
-
-
-def searched(docs: DataFrame, benchmark: DataFrame, keep_text: bool = True, window: int = WINDOW, items_at_once: int = ITEMS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``docs`` with a last column ``hits``: n_words, spans (first and last word of merged hits, words from 0) and items (sorted).
+def searched(docs: DataFrame, benchmark: DataFrame, keep_text: bool = True, column: str = "hits", window: int = WINDOW, items_at_once: int = ITEMS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``docs`` with a last column (``hits``): n_words, spans (first and last word of merged hits, words from 0) and items (sorted).
     A column of ``docs`` with that name is left out; so is the text without ``keep_text``. No rows move."""
-    frame = docs.drop("hits")
+    frame = docs.drop(column)
     names, blocks = frame.columns, [Windows(b, window) for b in _blocks(benchmark, items_at_once)] or [Windows([], window)]
     for i, windows in enumerate(blocks):
         kept = names if keep_text or i + 1 < len(blocks) else [n for n in names if n != "text"]
-        schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(kept).schema], f"hits {HITS}"])
-        frame = frame.mapInArrow(_search(windows, shard_words, names.index("text"), i > 0, kept), schema)
+        schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(kept).schema], f"`{column}` {HITS}"])
+        frame = frame.mapInArrow(_search(windows, shard_words, names.index("text"), i > 0, kept, column), schema)
     return frame
 
 
@@ -287,11 +272,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, **options) -> DataFram
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which nothing is hit."""
-    return searched(docs, benchmark, **options).filter(F.size("hits.spans") == 0).select(docs.columns)
+    own = free_name(docs, "hits")
+    return searched(docs, benchmark, column=own, **options).filter(F.size(F.col(own)["spans"]) == 0).drop(own)
 
 
 def cut_hits(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` (without a column named hits) with the hit words taken out of the text, and what stands between the words of a span."""
+    """``docs`` with the hit words taken out of the text, and what stands between the words of a span."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,4 +295,4 @@ def cut_hits(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])], batch.schema.names[:-1])
 
-    return searched(docs, benchmark, **options).mapInArrow(cut, docs.drop("hits").schema)
+    return searched(docs, benchmark, column=free_name(docs, "hits"), **options).mapInArrow(cut, docs.schema)

@@ -3,7 +3,7 @@
 Every document gives the hashes of all its runs of k words, one row each. They are joined to the runs of the templates; a match is a vote
 for the diagonal (place in the document minus place in the template). Votes are added up by document, template and diagonal;
 diagonals of a template that lie within ``SPREAD`` are taken together, which bridges a few words put in or left out; a span is verified
-by the share of the template's different runs it holds and, for fixed phrases, by every run of the phrase on one diagonal. Of
+by the share of the template's different runs it holds and, for fixed phrases and short notices, by every run of the phrase on one diagonal. Of
 spans on neighbouring diagonals the best one counts, so fragments before or after a copy do not hide it.
 
 The templates are a fixed short list, so their runs are broadcast. Votes are added up before they are shuffled; a document is at most one group of its own matches.
@@ -25,6 +25,12 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # phrases of the contract and their labels
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+# short notices as they stand in documents and SPDX forms, and their labels; all words of one must stand in a row
+NOTICES = {
+    "under the gnu general public license": "gpl", "under the gnu lesser general public license": "lgpl", "under the mozilla public license": "mpl-2", "under the bsd license": "bsd",
+    "all rights reserved": "all-rights-reserved", "creative commons attribution noncommercial": "cc-by-nc", "creative commons attribution sharealike": "cc-by-sa", "creative commons zero": "cc0",
+    "spdx license identifier mit": "mit", "spdx license identifier apache 2 0": "apache-2", "spdx license identifier gpl": "gpl", "spdx license identifier bsd": "bsd", "spdx license identifier isc": "isc",
+}
 # well-known passages of public license texts, and the label each one gives
 TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
@@ -44,7 +50,7 @@ TEMPLATES = [
     ("all-rights-reserved", "All rights reserved. No part of this publication may be reproduced"),
 ]
 MASK = 63  # places of a template told apart by one number
-N_MASKS = 1 + max(len(re.findall(WORD, t.lower())) for t in [*PHRASES, *(t for _, t in TEMPLATES)]) // MASK
+N_MASKS = 1 + max(len(re.findall(WORD, t.lower())) for t in [*PHRASES, *NOTICES, *(t for _, t in TEMPLATES)]) // MASK
 END = 0  # key of the row that every document has besides its runs
 
 
@@ -61,9 +67,9 @@ def run_hashes(own: Column) -> Column:
 
 
 def template_runs(spark: SparkSession) -> DataFrame:
-    """template, label, fixed, n_runs, at, key: every run of every template."""
-    rows = [(i, label, True, text) for i, (text, label) in enumerate(PHRASES.items())]
-    rows += [(len(rows) + i, label, False, text) for i, (label, text) in enumerate(TEMPLATES)]
+    """template, label, fixed, n_runs, at, key: every run of every template; the phrases of the contract come first."""
+    texts = [*((label, True, text) for text, label in [*PHRASES.items(), *NOTICES.items()]), *((label, False, text) for label, text in TEMPLATES)]
+    rows = [(i, *t) for i, t in enumerate(texts)]
     own = spark.createDataFrame(rows, "template int, label string, fixed boolean, text string").select("template", "label", "fixed", run_hashes(words(F.col("text"))).alias("runs"))
     return own.select("template", "label", "fixed", F.size("runs").alias("n_runs"), F.posexplode("runs").alias("at", "key"))
 
@@ -113,7 +119,7 @@ def license_spans(docs: DataFrame) -> DataFrame:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document: places of the phrases, labels, and the best share of a template."""
-    base = F.col("fixed") & (F.col("template") >= 0)
+    base = F.col("template").between(0, len(PHRASES) - 1)
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     return (
         license_spans(docs)

@@ -43,6 +43,14 @@ def texts_of(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *columns)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if a column of ``df`` bears it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column in one array, and where each row begins (one entry more than rows)."""
     if isinstance(column, pa.ChunkedArray):
