@@ -49,6 +49,12 @@ def test_prefix_groups_against_all_pairs(spark):
     assert groups(got) == groups(expected)
 
 
+def test_only_lengths_that_occur_are_probed(spark):
+    keys = ["abcdef", "abcdefgh", "abcdef" + "x" * 200, "zzzzzz" + "y" * 50, "short"]
+    got = {(r.clave[:8], len(r.prefijo)) for r in U.offered_prefixes(spark.createDataFrame([(k,) for k in keys], "clave string")).collect()}
+    assert got == {("abcdef", 6), ("abcdefgh", 6), ("abcdefgh", 8), ("abcdefxx", 6), ("abcdefxx", 8), ("abcdefxx", 206), ("zzzzzzyy", 56)}
+
+
 def test_companies_keep_the_shortest_symbol_and_the_longest_name(spark):
     rows = [("ADBEC", "Cedear Adobe Systems Incorpor"), ("ADBE", "Cedear Adobe Systems Incorporated."), ("ADBED", "Adobe Sys"), ("BA", "Boeing Co"), ("BA.C", "Bank Of America"),
             ("RENT3", "Localiza"), ("AZNC", "Aztrazeneca"), ("BPA11", "Btg Pactual"), ("BRKB", "Berkshire")]

@@ -64,22 +64,27 @@ def prefix_groups(keys: DataFrame, column: str = "clave", min_prefix: int = MIN_
     """(clave, grupo): keys connected by one being a prefix (of six characters or more) of the other.
 
     Prefixes of one key are prefixes of each other, so the relation is a forest and a key's group is named by its
-    shortest prefix that is itself a key. One equi-join on the prefix finds it: no pair of keys is compared
-    and nothing has to be propagated.
+    shortest prefix that is itself a key. A directory tells which lengths occur among the keys with the same first six
+    characters; a key offers its prefixes of those lengths alone, and an equi-join finds the shortest that is a key.
+    No pair of keys is compared and nothing has to be propagated.
     """
     distinct = keys.select(F.col(column).alias("clave")).filter(F.col("clave").isNotNull()).distinct()
+    offered = offered_prefixes(distinct, min_prefix)
     heads = distinct.filter(F.length("clave") >= min_prefix).select(F.col("clave").alias("prefijo"))
-    # explode keeps NULL-free lengths only; keys shorter than the minimum name their own group
-    lengths = F.when(F.length("clave") >= min_prefix, F.sequence(F.lit(min_prefix), F.length("clave")))
-    offered = distinct.select("clave", F.explode_outer(lengths).alias("n")).withColumn(
-        "prefijo", F.when(F.col("n").isNotNull(), F.substring("clave", F.lit(1), F.col("n")))
-    )
-    found = offered.join(heads, "prefijo", "left_semi").groupBy("clave").agg(F.min("n").alias("n"))
+    found = offered.join(heads, "prefijo", "left_semi").groupBy("clave").agg(F.min(F.length("prefijo")).alias("n"))
     return distinct.join(found, "clave", "left").select(
         "clave", F.coalesce(F.substring("clave", F.lit(1), F.col("n")), "clave").alias("grupo")
     )
 
 
+def offered_prefixes(distinct: DataFrame, min_prefix: int = MIN_PREFIX) -> DataFrame:
+    """(clave, prefijo): of each key the prefixes of the lengths that some key with the same head has, its own included. At most as many as lengths occur."""
+    headed = distinct.filter(F.length("clave") >= min_prefix).withColumn("cabeza", F.substring("clave", 1, min_prefix))
+    directory = headed.groupBy("cabeza").agg(F.collect_set(F.length("clave")).alias("largos"))
+    probed = headed.join(directory, "cabeza").select("clave", F.explode(F.filter("largos", lambda n: n <= F.length("clave"))).alias("n"))
+    return probed.select("clave", F.substring("clave", F.lit(1), F.col("n")).alias("prefijo"))
+
+
 def symbols_with_group(panel: DataFrame) -> DataFrame:
     """``panel`` (simbolo, descripcion) with empresa and grupo."""
     named = panel.withColumn("empresa", company_name(F.col("descripcion"))).withColumn("clave", grouping_key(F.col("empresa")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.expr import ladder, ratio, rounded
@@ -39,24 +39,25 @@ def valuation_index(
     )
 
 
+def with_today(index: DataFrame) -> DataFrame:
+    """The known months of an index, each with its company's newest value as ``hoy``."""
+    history = Window.partitionBy("ticker_usd").orderBy("fin_mes").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return index.filter(F.col("val").isNotNull()).withColumn("hoy", F.last("val").over(history))
+
+
 def valuation_reading(index: DataFrame, pe_today: DataFrame, min_months: int = MIN_MONTHS, rounded_output: bool = True) -> DataFrame:
     """Where today's valuation lies in the company's own history, scaled to today's P/E.
 
     ``pe_today``: (ticker_usd, pe_trailing). Tickers whose index has no month at all are absent.
     """
     r = rounded_output
-    known = index.filter(F.col("val").isNotNull())
-    last = known.groupBy("ticker_usd").agg(
+    last = with_today(index).groupBy("ticker_usd").agg(
         F.count("*").alias("val_meses"),
-        F.max_by("val", "fin_mes").alias("hoy"),
+        F.max("hoy").alias("hoy"),
         F.median("val").alias("mediana"),
         F.min("val").alias("minimo"),
         F.max("val").alias("maximo"),
-    )
-    below = (
-        known.join(last.select("ticker_usd", "hoy"), "ticker_usd")
-        .groupBy("ticker_usd")
-        .agg((F.avg(F.when(F.col("val") <= F.col("hoy"), 1.0).otherwise(0.0)) * 100).alias("percentil"))
+        (F.avg(F.when(F.col("val") <= F.col("hoy"), 1.0).otherwise(0.0)) * 100).alias("percentil"),
     )
     pe = F.col("pe_trailing")
     scale = F.when(pe > 0, ratio(pe, "hoy"))
@@ -67,8 +68,7 @@ def valuation_reading(index: DataFrame, pe_today: DataFrame, min_months: int = M
         return F.when(enough, c)
 
     return (
-        last.join(below, "ticker_usd")
-        .join(pe_today.select("ticker_usd", "pe_trailing"), "ticker_usd", "left")
+        last.join(pe_today.select("ticker_usd", "pe_trailing"), "ticker_usd", "left")
         .select(
             "ticker_usd", "val_meses",
             when_enough(rounded(p, 1, r)).alias("val_percentil_hoy"),
@@ -136,10 +136,8 @@ def historical_valuation(
         "val_percentil_hoy", "val_pe_hoy", "val_pe_mediana_hist", "val_pe_min_hist", "val_pe_max_hist",
         F.coalesce("motivo", "val_lectura", F.lit("Sin historia suficiente")).alias("val_lectura"),
     )
-    today = index.filter(F.col("val").isNotNull()).groupBy("ticker_usd").agg(F.max_by("val", "fin_mes").alias("hoy"))
     history = (
-        index.filter(F.col("val").isNotNull())
-        .join(today, "ticker_usd")
+        with_today(index)
         .join(pe_today.select("ticker_usd", "pe_trailing"), "ticker_usd")
         .filter(F.col("pe_trailing").isNotNull() & (F.col("pe_trailing") != 0))
         .select(
