@@ -206,6 +206,32 @@ def test_code_lengths_by_definition():
         assert got.tolist() == pytest.approx([code_length(w, counts[x], 2) for x in ("a", "b")], rel=1e-5)
 
 
+def test_every_labelled_document_is_learned_from(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(language, "COUNTED_BYTES", 2000)
+    monkeypatch.setattr(language, "RUNS_BYTES", 500)
+    word = lambda i: "".join(chr(97 + i // 26**p % 26) for p in range(3))
+    rows = [(i, f"{word(i * 23)} Same {word(i)}", "xy"[i % 2]) for i in range(1200)]
+    trees = language.train(spark.createDataFrame([*rows, (1, None, "x"), (2, "none", None)], "doc_id long, text string, lang string"))
+    counts = Counter()
+    for _, text, lang in rows:
+        for w in text.lower().encode().split():
+            w = b" " + w + b" "
+            counts.update((lang, w[a : i + 1]) for i in range(1, len(w)) for a in range(max(0, i - language.ORDER), i + 1))
+    plain = language.Trees(pa.table({"lang": [x for x, _ in counts], "gram": [g for _, g in counts], "n": list(counts.values())}), language.ORDER)
+    assert trees.langs == plain.langs and (trees.grams == plain.grams).all() and (trees.contexts == plain.contexts).all()
+    assert (trees.cost == plain.cost).all() and (trees.escape == plain.escape).all()
+
+
+def test_threshold_is_that_of_the_costliest_labelled_document(spark, prose):
+    rows = [(i, prose(i, 60), "x") for i in range(1000) if crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = language.learned(docs)
+    bits = max(float(trees.word_bits(t.encode().lower().split()).sum(0).min()) / len(t.encode()) for _, t, _ in rows if len(t.encode()) >= language.ENOUGH_BYTES)
+    assert language.costliest(docs, trees) == pytest.approx(bits, rel=1e-4)
+
+
 def test_language(spark, prose):
     kinds = {"x": "abcd", "y": "efgh"}
     rows = []
