@@ -32,3 +32,14 @@ def test_entry_points(spark):
 
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     assert entry_points.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["watch_states", "watchlist_alerts", "country_ranking", "pivot_backtest", "pivot_backtest_momentum"])
+def test_lines_are_rolled_up_once(spark, monkeypatch, name):
+    from tickerloom.sources import adapters as A
+
+    calls = []
+    for table in ("bars", "metrics"):
+        monkeypatch.setattr(A, table, lambda *a, real=getattr(A, table), table=table: calls.append(table) or real(*a))
+    QUERIES[name].dataframe(spark, str(SF))
+    assert max(map(calls.count, calls)) == 1
