@@ -49,3 +49,16 @@ def test_sliding_sentiment_gives_the_batch_answer(spark, table, tmp_path):
     cols = ["ticker_usd", "sent_titulares_total", "sent_positivas", "sent_negativas", "sent_neutrales", "sent_clasificacion"]
     batch = news_sentiment(news(table), TODAY)
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
+
+
+def test_files_of_a_stream_become_more_with_the_rows(spark):
+    from pathlib import Path
+
+    from tickerloom.catalog.store import _files
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64kb")
+    try:
+        numbers = [len(list(Path(_files(spark.range(n).selectExpr("id", "sha2(string(id), 512) AS t"), "parquet", n=None).removeprefix("file://")).glob("*.parquet"))) for n in (2_000, 40_000)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert numbers[1] > 8 * numbers[0] > 0

@@ -143,9 +143,10 @@ def portfolio_verdict(spark, sf):
 # -- streams over the files there are, against the batch answer
 
 
-def _files(df: DataFrame, file_format: str, n: int = 4) -> str:
+def _files(df: DataFrame, file_format: str, n: int | None = 4) -> str:
+    """Files of a stream, ``n`` of them; without a number they are of one size and become more as the rows do."""
     folder = scratch(df.sparkSession, "stream")
-    df.repartition(n).write.format(file_format).save(folder)
+    (df.repartition(n) if n else df.hint("rebalance")).write.format(file_format).save(folder)
     return folder
 
 
@@ -165,7 +166,7 @@ NEWS = "ticker_usd string, titular string, sentimiento string, score_sentimiento
 
 def _news_stream(spark, sf) -> DataFrame:
     news = A.news(spark, sf).select("ticker_usd", "titular", "sentimiento", "score_sentimiento", F.col("fecha_publicacion").cast("timestamp").alias("fecha_publicacion"))
-    return I.file_stream(spark, _files(news, "parquet"), NEWS, "parquet")
+    return I.file_stream(spark, _files(news, "parquet", n=None), NEWS, "parquet")
 
 
 def _drained(stream: DataFrame) -> DataFrame:
