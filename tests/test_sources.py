@@ -112,3 +112,15 @@ def test_sinks(spark, tmp_path):
     assert {r.ticker_usd for r in spark.read.option("header", True).csv(str(tmp_path / "c")).collect()} == {"A", "B"}
     sinks.publish_view(mon, "vista_prueba")
     assert spark.table("vista_prueba").count() == 2
+
+
+def test_price_files_do_not_grow_with_the_symbols(spark, tmp_path):
+    from tickerloom.catalog import feeds
+
+    rows = [(f"S{i}", dt.date(2024, 1, 2), 1.0, float(i), 7) for i in range(40)] + [(None, dt.date(2024, 1, 2), 1.0, 1.0, 7), ("S3", None, 1.0, 3.5, 7)]
+    feeds._price_files(spark.createDataFrame(rows, "t string, fecha date, open double, close double, volume long").coalesce(2), F.col("t"), str(tmp_path / "p"))
+    assert len(list((tmp_path / "p").rglob("*.csv"))) <= 2
+    symbols = spark.createDataFrame([(f"T{i}", f"S{i}") for i in range(39)], "ticker_usd string, ticker_yahoo string")
+    got = S.price_rows(S.read_bulk_price_files(spark, str(tmp_path / "p")), symbols).select("ticker_usd", "fecha", "open", "high", "close", "adj_close", "volume").collect()
+    day = dt.date(2024, 1, 3)  # late evening in New York
+    assert sorted(map(tuple, got), key=str) == sorted([*[(f"T{i}", day, 1.0, None, float(i), None, 7) for i in range(39)], ("T3", None, 1.0, None, 3.5, None, 7)], key=str)

@@ -93,6 +93,11 @@ def read_price_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _csv(spark, path, PRICE_SCHEMA).withColumn("simbolo", file_stem())
 
 
+def read_bulk_price_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Price CSVs of many symbols each, which their last column ``simbolo`` names: as many files as the rows need, however many symbols there are."""
+    return _csv(spark, path, PRICE_SCHEMA + ", simbolo string")
+
+
 def price_rows(raw: DataFrame, symbols: DataFrame) -> DataFrame:
     """fact_precios_daily from raw price rows; ``symbols``: ticker_usd, ticker_yahoo of the universe."""
     named = symbols.select("ticker_usd", F.regexp_replace("ticker_yahoo", "/", "_").alias("simbolo"))
