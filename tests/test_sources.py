@@ -124,3 +124,27 @@ def test_price_files_do_not_grow_with_the_symbols(spark, tmp_path):
     got = S.price_rows(S.read_bulk_price_files(spark, str(tmp_path / "p")), symbols).select("ticker_usd", "fecha", "open", "high", "close", "adj_close", "volume").collect()
     day = dt.date(2024, 1, 3)  # late evening in New York
     assert sorted(map(tuple, got), key=str) == sorted([*[(f"T{i}", day, 1.0, None, float(i), None, 7) for i in range(39)], ("T3", None, 1.0, None, 3.5, None, 7)], key=str)
+
+
+def test_news_files_do_not_grow_with_the_tickers(spark, tmp_path, monkeypatch):
+    from tickerloom.catalog import QUERIES, feeds
+
+    data = {
+        "documents": spark.createDataFrame([(i, "x", "en", "web", 10) for i in range(1, 90)], "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"),
+        "supplier": spark.range(30).select(F.col("id").alias("s_suppkey")),
+    }
+    for name, df in data.items():
+        df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(feeds, "scratch", lambda spark, name: str(tmp_path / name))
+    got = QUERIES["xml_news_items"].dataframe(spark, str(tmp_path)).collect()
+    assert sorted((r.ticker_usd, r.link) for r in got) == sorted((f"S{i % 30}", f"http://feed/{i}?a=1&b=2") for i in range(1, 90) if i % 13 and i % 17)
+    assert 0 < len([p for p in (tmp_path / "rss").rglob("part-*") if p.suffix != ".crc"]) < 10
+
+
+def test_items_of_many_tickers_in_a_file(spark, tmp_path):
+    rows = [("B", "b1"), ("A", "a1"), (None, "n1"), ("B", "b2")]
+    items = "".join(f"<item><title>{t}</title><pubDate>Wed, 18 Nov 2026 10:00:00 GMT</pubDate>" + (f"<ticker_usd>{k}</ticker_usd>" if k else "") + "</item>" for k, t in rows)
+    write(tmp_path / "n" / "all.xml", "<rss><channel>" + items + "</channel></rss>")
+    got = S.read_news_files(spark, str(tmp_path / "n"), named=True).collect()
+    assert sorted((r.ticker_usd or "", r.orden, r.title) for r in got) == [("", 1, "n1"), ("A", 1, "a1"), ("B", 1, "b1"), ("B", 2, "b2")]

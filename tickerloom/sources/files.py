@@ -253,12 +253,16 @@ def mail_time(text: Column) -> Column:
     )
 
 
-def read_news_files(spark: SparkSession, path: str) -> DataFrame:
-    """RSS files, one file or folder per ticker: raw items with ``ticker_usd`` and their place in the feed."""
-    items = spark.read.format("xml").option("rowTag", "item").option("recursiveFileLookup", "true").schema(NEWS_SCHEMA).load(path)
+def read_news_files(spark: SparkSession, path: str, named: bool = False) -> DataFrame:
+    """RSS files, one file or folder per ticker: raw items with ``ticker_usd`` and their place in the feed.
+
+    With ``named`` a file holds items of many tickers, each with an element ``ticker_usd``; a ticker's feed is then its items by file and place.
+    """
+    items = spark.read.format("xml").option("rowTag", "item").option("recursiveFileLookup", "true").schema(NEWS_SCHEMA + ", ticker_usd string" * named).load(path)
     # pieces of one file follow each other by where they begin, whatever partition they came in
     piece = Window.partitionBy("ticker_usd").orderBy("_file", "_block", "_row")
-    placed = items.select("*", file_stem().alias("ticker_usd"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    ticker = F.col("ticker_usd") if named else file_stem()
+    placed = items.withColumn("ticker_usd", ticker).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
     return placed.withColumn("_row", F.monotonically_increasing_id()).withColumn("orden", F.row_number().over(piece)).drop("_file", "_block", "_row")
 
 
