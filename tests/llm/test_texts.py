@@ -335,6 +335,25 @@ def plain_bits(coder, counts, weights, body: bytes) -> float:
     return total
 
 
+def test_places_of_texts_side_by_side(prose):
+    """A text's places do not depend on the texts around it, also where it is shorter than the contexts, and each bit of a place is found again by table."""
+    import numpy as np
+
+    texts = [b"", b"a", b"ab", b"abc", b"abcd", b"", b"\xff\x00 \t", b"abcd abcd", prose(1, 20).encode()]
+    coder = mixing.Coder(np.arange(257))
+    gram, prefix, at = coder.places(*flat(texts))
+    alone = [coder.places(*flat([t])) for t in texts]
+    for k, whole in enumerate((gram, prefix, at)):
+        assert whole.tolist() == np.concatenate([x[k] for x in alone]).tolist()
+    want = [[int.from_bytes(t[i - k : i - k + 1], "big") + 1 if i >= k else 0 for k in range(1, 5)] for t in texts for i in range(len(t) + 1)]
+    assert [[int(g) >> 9 * (5 - k) & 511 for k in range(1, 5)] for g in gram] == want
+    of, node, bit = coder.bits_of(gram)
+    for t, place, where in coder.by_table(gram, prefix):
+        own, own_node, own_bit = coder.bits_of(place)
+        assert len(set(place.tolist())) == len(place) and (own_node[where] == node).all() and (own_bit[where] == bit).all()
+        assert (mixing._context(place, t)[own[where]] == mixing._context(prefix if t == 4 else gram, t)[of]).all()
+
+
 def test_bits_are_a_distribution(prose):
     """The probabilities of all symbols in one place add up to one, also where nothing was counted, and equal texts have equal code lengths wherever they stand."""
     import numpy as np
