@@ -29,7 +29,7 @@ def test_query_against_sql(spark, con, name):
     want = con.sql(SQL[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    same = [x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (got, want)]
+    same = [x[columns].convert_dtypes().astype(str).sort_values(columns).reset_index(drop=True) for x in (got, want)]
     assert same[0].equals(same[1])
 
 
